@@ -95,10 +95,11 @@ def rules() -> dict[str, Column]:
     c = F.col
     long_enough = c("n_words") >= 20
     return {
-        "symbols": _vote(50 * c("n_symbols") < c("n_words"), 10 * c("n_symbols") > c("n_words")),
+        "symbols": _vote(50 * c("n_symbols") < c("n_words"), 5 * c("n_symbols") > c("n_words")),
+        "symbol_share": _vote(200 * c("n_symbols") < c("word_chars"), 25 * c("n_symbols") > c("word_chars")),
         "shouting": _vote(4 * c("n_upper") < c("n_letters"), long_enough & (2 * c("n_upper") > c("n_letters"))),
         "marks": _vote(20 * c("n_marks") < c("n_words"), 4 * c("n_marks") > c("n_words")),
-        "repeats": _vote(long_enough & (20 * c("n_repeat_words") < c("n_words")), 5 * c("n_repeat_words") > c("n_words")),
+        "repeats": _vote(long_enough & (20 * c("n_repeat_words") < c("n_words")), 10 * c("n_repeat_words") > 3 * c("n_words")),
         "lines": _vote((c("n_lines") > 2) & (c("n_dup_lines") == 0), (c("n_lines") > 3) & (10 * c("n_dup_lines") > 3 * c("n_lines"))),
         "variety": _vote((c("n_words") >= 50) & (3 * c("n_distinct") > c("n_words")), (c("n_words") >= 50) & (c("n_words") <= 2000) & (5 * c("n_distinct") < c("n_words"))),
         "length": _vote((c("word_chars") >= 2 * c("n_words")) & (c("word_chars") <= 15 * c("n_words")) & long_enough, (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 30 * c("n_words"))),
@@ -108,37 +109,48 @@ def rules() -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class VoteModel:
-    """accuracy: how often a rule's votes are right; prior: share of good texts."""
+    """What the votes say: for each rule the log-odds of a good text that a good vote and a bad vote add; prior: share of good texts."""
 
-    accuracy: dict[str, float]
+    weights: dict[str, tuple[float, float]]
     prior: float
 
     def posterior(self) -> Column:
         """Probability that a text is good, given its votes."""
         score = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name, a in self.accuracy.items():
-            score = score + F.col(f"vote_{name}") * F.lit(math.log(a / (1 - a)))
+        for name, (good, bad) in self.weights.items():
+            vote = F.col(f"vote_{name}")
+            score = score + F.when(vote == 1, good).when(vote == -1, bad).otherwise(0.0)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
 
 
-def fit_votes(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 50) -> VoteModel:
-    """EM for a mixture of good and bad texts in which a rule that votes is right with one probability.
+def fit_votes(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 60) -> VoteModel:
+    """EM for a mixture of good and bad texts in which each rule has its own rates of good and bad votes in either class.
 
-    An accuracy stays within 0.6 and 0.95 and the prior within 0.5 and 0.95: rules are better than chance by design,
-    which also keeps the two classes from changing places; no rule alone overrules all the others. Without any texts the
-    starting values remain.
+    A rule names one kind of defect: its bad vote says much, its good vote only that this one defect is absent. So the
+    rates of both votes are estimated for both classes, with pseudo-counts at the starting values. A bad vote is kept at
+    least 5 times as likely for a bad text, and a good vote 1 to 1.15 times as likely for a good one: bad texts differ
+    in their one defect, and the absence of the others is no excuse. So the classes cannot change places either. The prior
+    stays within 0.6 and 0.98. An abstention says nothing. Without texts the starting values remain.
     """
-    accuracy, prior = np.full(len(names), 0.8), 0.8
+    start = np.array([[0.3, 0.4], [0.7, 0.02]])  # class bad, good; vote good, bad
+    rates, prior = np.repeat(start[:, None, :], len(names), axis=1), 0.85
+
+    def weights() -> np.ndarray:
+        return np.log(rates[1] / rates[0])
+
     if patterns:
-        votes = np.array([p for p, _ in patterns], float).reshape(len(patterns), len(names))
+        votes = np.array([p for p, _ in patterns], int).reshape(len(patterns), len(names))
         n = np.array([k for _, k in patterns], float)
+        cast = np.stack([votes == 1, votes == -1], axis=2).astype(float)
+        pseudo = 20.0
         for _ in range(rounds):
-            good = 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + votes @ np.log(accuracy / (1 - accuracy)))))
-            right = np.where(votes > 0, good[:, None], np.where(votes < 0, 1 - good[:, None], 0))
-            weight = n[:, None]
-            accuracy = np.clip(((right * weight).sum(0) + 8) / (((votes != 0) * weight).sum(0) + 10), 0.6, 0.95)
-            prior = float(np.clip((good * n).sum() / n.sum(), 0.5, 0.95))
-    return VoteModel(dict(zip(names, accuracy.tolist(), strict=True)), prior)
+            good = 1 / (1 + np.exp(-np.clip(math.log(prior / (1 - prior)) + (cast * weights()).sum((1, 2)), -50, 50)))
+            for y, share in enumerate((1 - good, good)):
+                rates[y] = ((cast * (share * n)[:, None, None]).sum(0) + pseudo * start[y]) / ((share * n).sum() + pseudo)
+            rates[1, :, 1] = np.minimum(rates[1, :, 1], rates[0, :, 1] / 5)
+            rates[0, :, 0] = np.clip(rates[0, :, 0], rates[1, :, 0] / 1.15, rates[1, :, 0])
+            prior = float(np.clip((good * n).sum() / n.sum(), 0.6, 0.98))
+    return VoteModel({k: (float(g), float(b)) for k, (g, b) in zip(names, weights(), strict=True)}, prior)
 
 
 def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
