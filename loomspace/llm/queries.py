@@ -22,6 +22,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe_round_trip
+
+    return bpe_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
@@ -38,6 +44,7 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_token_counts": op4_token_counts,
+    "op7_bpe": op7_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
 
