@@ -26,6 +26,13 @@ def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_cnn import quality_scores
+
+    found = quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), train=_fold(5) != 0)
+    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -53,6 +60,7 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_cnn": op2_quality_cnn,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,

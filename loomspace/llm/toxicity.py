@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded, id_text
+from .common import blocks, bounded, id_text, labelled_sample
 
 BITS = 20
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -102,21 +102,6 @@ def fit(rows: list[tuple[str, int]], bits: int = BITS, p: Ftrl | None = None) ->
     return ToxicModel(bits, at, weights(at), bias)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, rows: int, most_bytes: int, seed: str) -> list[tuple[str, int]]:
-    """At most `rows` texts of either label for which train (a condition on doc_id) holds, the first by a hash of doc_id.
-
-    The bound is a parameter of the fit, as is most_bytes: longer texts are not used for fitting. Rows with a null
-    doc_id, text or label are not used either.
-    """
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(train)
-    marked = marked.groupBy("doc_id").agg(F.max("y").alias("y"))
-    order = F.xxhash64("doc_id", F.lit(seed))
-    picked = marked.filter("y = 1").orderBy(order, "doc_id").limit(rows).union(marked.filter("y = 0").orderBy(order, "doc_id").limit(rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.octet_length("text") <= most_bytes)
-    found = texts.join(F.broadcast(picked), "doc_id").orderBy(order, "doc_id", "text").limit(2 * rows).select("text", "y").collect()
-    return [(r.text, r.y) for r in found]
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, train, sample: int = 5000, most_bytes: int = 20_000, threshold: float = 0.7) -> DataFrame:
     """Per row of docs: doc_id, score, predicted.
 
