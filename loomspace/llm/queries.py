@@ -52,6 +52,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, counted, named, personal_data
+
+    found = personal_data(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(counted("base", k).alias(f"n_{k}") for k in KINDS), F.sha2(named("base"), 256).alias("base_sha256"), named("spans").alias("spans"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_bpe": op7_bpe,
+    "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
 }
 
