@@ -42,7 +42,7 @@ class Bootstrap:
 
     rounds: int = 3
     support: int = 3
-    confidence: float = 0.8
+    confidence: float = 0.7
     shortest: int = 5
 
 
@@ -107,7 +107,7 @@ def _learn(seen: DataFrame, p: Bootstrap) -> DataFrame:
     strong = written(support.join(sizes, "pattern"), "pii-support")
     for _ in range(p.rounds):
         by_pattern = held.select("pattern", "value").join(scores, "value").groupBy("pattern", "rank").agg(F.sum("score").alias("mass"))
-        patterns = by_pattern.join(strong, ["pattern", "rank"]).withColumn("trust", F.col("mass") / (F.col("n") + 1)).filter(F.col("trust") >= p.confidence)
+        patterns = by_pattern.join(strong, ["pattern", "rank"]).withColumn("trust", F.col("mass") / (F.col("n") + 0.5)).filter(F.col("trust") >= p.confidence)
         fresh = held.filter("rank is null").select("pattern", "value").join(patterns.select("pattern", "rank", "trust"), "pattern")
         fresh = fresh.groupBy("value", "rank").agg((1 - F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999)))))).alias("score"))
         scores = written(held.filter("rank is not null").select("value", "rank", F.lit(1.0).alias("score")).distinct().unionByName(fresh), "pii-scores")
