@@ -11,8 +11,8 @@ Normalisation of content is only what cannot change a count: null becomes the em
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,14 +20,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import BLOCK, ByteBpe, covered
 from .common import blocks, bounded, fresh_path, id_text
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
-#: Entries of a worker's memo of fragments before it starts anew.
-MEMO = 300_000
-
-#: White space that is doubled or stands at an end. Without it, each single space is the start of a pre-token.
-_RUN = re.compile(r"\s\s|\A\s|\s\Z")
 
 
 def tokenizer_version(path: str) -> str:
@@ -37,54 +33,23 @@ def tokenizer_version(path: str) -> str:
 
 
 class Counter:
-    """Exact token counts by the tokenizers library, which sees each distinct fragment once while the memo holds it.
-
-    A byte-level pre-tokenizer puts a single space that stands between two other characters at the start of the next
-    pre-token, and BPE never crosses pre-tokens. So a text without doubled or outer white space has as many tokens as
-    its parts, cut before each space. Other texts, and those with a special token, are encoded whole.
-    """
+    """Exact token counts of texts: by the encoder of this package where it covers the tokenizer, else by the library itself."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        import json
-
         with open(path, encoding="utf-8") as f:
-            made = json.load(f)
-        pre = made.get("pre_tokenizer") or {}
-        self.by_parts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer")
-        self.memo: dict[str, int] = {}
+            self.bpe = ByteBpe(path) if covered(json.load(f)) else None
+        if self.bpe is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
 
-    def whole(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
 
     def counts(self, texts: list[str]) -> list[int]:
-        out: list[int] = [0] * len(texts)
-        alone, parted = [], []
-        for k, text in enumerate(texts):
-            if self.by_parts and text and not _RUN.search(text) and not any(s in text for s in self.special):
-                parted.append((k, text.split(" ")))
-            else:
-                alone.append(k)
-        for k, n in zip(alone, self.whole([texts[k] for k in alone]), strict=True):
-            out[k] = n
-        heads = self.whole([parts[0] for _, parts in parted])
-        missing = list(set().union(*(parts[1:] for _, parts in parted)) - self.memo.keys()) if parted else []
-        if len(self.memo) + len(missing) > MEMO:
-            self.memo.clear()
-            missing = list(set().union(*(parts[1:] for _, parts in parted)))
-        for k in range(0, len(missing), 4096):
-            some = missing[k : k + 4096]
-            self.memo.update(zip(some, self.whole([" " + x for x in some]), strict=True))
-        get = self.memo.__getitem__
-        for (k, parts), head in zip(parted, heads, strict=True):
-            out[k] = head + sum(map(get, parts[1:]))
-        return out
+        if self.bpe is not None:
+            return [len(x) for x in self.bpe.encode(texts)]
+        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def encode_counts(texts: DataFrame, path: str) -> DataFrame:
@@ -92,7 +57,7 @@ def encode_counts(texts: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
-        for part in blocks(batches):
+        for part in blocks(batches, BLOCK):
             yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(counter.counts(part.column("text").to_pylist()), pa.int64())], ["digest", "n_tokens"])
 
     return bounded(texts).mapInArrow(run, "digest binary, n_tokens bigint")
