@@ -12,9 +12,8 @@ What the benchmark alone determines is broadcast if its counted rows are few, el
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import written
 
@@ -143,6 +142,14 @@ def proximity_matches(index: DataFrame, items: DataFrame, slack: int = 3) -> Dat
     return near.groupBy(*_DOC, "item", "m", "start").agg(F.count_distinct("off").alias("n_pairs")).filter("2 * n_pairs >= m - 1").select(*_DOC, "item", "start", "n_pairs")
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs without any window of the benchmark, all columns kept. Cases as in contamination."""
+    items = written(item_words(benchmark), "items")
+    hit = phrase_matches(build_index(docs, items), items).select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h")).distinct()
+    rows = docs.withColumn("text_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.join(written(hit, "hits"), F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")) & (F.col("text_h") == F.col("hit_h")), "left_anti").select(*docs.columns)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import blocks, bounded, id_text, written
 
@@ -153,21 +154,44 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rou
     return VoteModel({k: (float(g), float(b)) for k, (g, b) in zip(names, weights(), strict=True)}, prior)
 
 
+def _voted(found: DataFrame) -> DataFrame:
+    return found.select("*", base_failed().alias("base_failed"), *(v.alias(f"vote_{k}") for k, v in rules().items()))
+
+
+def vote_model(votes: DataFrame) -> VoteModel:
+    names = list(rules())
+    histogram = votes.groupBy(*(f"vote_{k}" for k in names)).count().collect()
+    return fit_votes([(tuple(r[:-1]), r[-1]) for r in histogram], names)
+
+
 def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Per row of docs: doc_id, the measures, base_failed, the votes, quality (posterior) and kept.
 
     Null and empty texts have no words and so fail the base rules. Repeated rows count as often as they stand there.
     An empty table gives no rows. Columns besides doc_id and text are not looked at.
     """
-    found = written(measures(docs), "quality-measures")
-    votes = found.select("*", base_failed().alias("base_failed"), *(v.alias(f"vote_{k}") for k, v in rules().items()))
-    names = list(rules())
-    histogram = votes.groupBy(*(f"vote_{k}" for k in names)).count().collect()
-    model = fit_votes([(tuple(r[:-1]), r[-1]) for r in histogram], names)
-    scored = votes.withColumn("quality", model.posterior())
+    votes = _voted(written(measures(docs), "quality-measures"))
+    scored = votes.withColumn("quality", vote_model(votes).posterior())
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
+def quality_filter(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns. Rows are decided where they are read, so equal ids do not matter."""
+    model = vote_model(_voted(written(measures(docs), "quality-measures")))
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches):
+            found = [measure(t or "") for t in part.column("text").to_pylist()]
+            columns = [pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * len(MEASURES))]
+            own = pa.StructArray.from_arrays([part.column(c) for c in range(part.num_columns)], fields=list(part.schema))
+            yield pa.RecordBatch.from_arrays([own, *columns], ["row", *MEASURES])
+
+    fields = StructType([StructField("row", schema), *(StructField(m, LongType()) for m in MEASURES)])
+    scored = _voted(bounded(docs).mapInArrow(run, fields)).withColumn("quality", model.posterior())
+    return scored.filter(~F.col("base_failed") & (F.col("quality") >= threshold)).select("row.*")
+
+
 def brute_repeats(words: list[str]) -> int:
     """The definition of n_repeat_words, word by word (for tests)."""
     windows = Counter(tuple(words[k : k + WINDOW]) for k in range(len(words) - WINDOW + 1))

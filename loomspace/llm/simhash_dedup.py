@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, bounded, id_text, text_bytes, written
@@ -69,14 +69,14 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp bigint) per row."""
+    """(doc_id, h, fp bigint) per row; h, a hash of the text, tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
             found = np.array([fingerprint(t) for t in text_bytes(part.column("text"))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(found.view(np.int64))], ["doc_id", "h", "fp"])
 
-    return bounded(id_text(docs)).mapInArrow(run, "doc_id bigint, fp bigint")
+    return bounded(id_text(docs).withColumn("h", F.xxhash64("text"))).mapInArrow(run, "doc_id bigint, h bigint, fp bigint")
 
 
 class Forest:
@@ -170,8 +170,26 @@ def simhash_components(docs: DataFrame, small: int = SMALL) -> DataFrame:
     each give a row. An empty table gives no rows. Columns besides doc_id and text are not looked at.
     """
     found = written(fingerprints(docs), "fingerprints")
-    nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    root = components(written(links(nodes.select("fp"), small), "links"))
-    named = nodes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = _roots(found, small)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return found.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _roots(found: DataFrame, small: int) -> DataFrame:
+    """(fp, least, root): each distinct fingerprint, its least doc_id, and the fingerprint that names its component."""
+    nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    root = components(written(links(nodes.select("fp"), small), "links"))
+    return nodes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def simhash_filter(docs: DataFrame, small: int = SMALL) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id (null last, then the least hash of the text), all columns kept."""
+    found = written(fingerprints(docs), "fingerprints")
+    named = _roots(found, small)
+    # the least row of a fingerprint first, so that a group with very many rows is aggregated before it is joined
+    first = found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first"))
+    stay = first.join(named, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("stay_id"), F.col("first.h").alias("stay_h"))
+    rows = docs.withColumn("text_h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("long_id", F.col("doc_id").cast("long"))
+    both = rows.join(stay, F.col("long_id").eqNullSafe(F.col("stay_id")) & (F.col("text_h") == F.col("stay_h")), "left_semi")
+    order = Window.partitionBy("long_id", "text_h").orderBy(*(F.col(c) for c in docs.columns if c != "text"))
+    return both.withColumn("copy", F.row_number().over(order)).filter("copy = 1").select(*docs.columns)
