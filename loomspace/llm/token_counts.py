@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import BLOCK, ByteBpe, covered
-from .common import blocks, bounded, fresh_path, id_text
+from .common import blocks, bounded, fresh_path, id_text, written
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
 
@@ -90,4 +90,5 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     misses = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(cached(spark, cache, version), "digest", "left_anti")
     found = rows.alias("r").join(misses.alias("m"), (F.col("r.digest") == F.col("m.digest")) & F.col("r.doc_id").eqNullSafe(F.col("m.rep"))).select("r.digest", "r.text")
     encode_counts(found, tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    return keyed.join(cached(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = written(cached(spark, cache, version), "token-counts")  # a plain table, so that Spark can split a digest that very many rows have
+    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
