@@ -6,8 +6,8 @@ windows with one anchor travel as one snippet. Anchors that occur once hold no r
 counted, not compared. Where an anchor has several different snippets, a bucket's suffixes are sorted one
 bucket at a time, long ties being resolved by precomputed ranks of a difference-cover sample (cover_sort), and neighbours that share
 200 bytes are repeats. An anchor with very many different snippets, as at the border of a passage that a large
-part of the corpus quotes, would make a bucket without bound: its windows are grouped by 128-bit digests instead, one
-row a window, which pre-aggregates and splits.
+part of the corpus quotes, would make a bucket without bound: its windows are compared by 128-bit digests instead, first
+within batches of snippets and then, one of each different window, across them.
 """
 
 from __future__ import annotations
@@ -186,26 +186,93 @@ def _sorted_ranges(rows: DataFrame) -> DataFrame:
     return rows.select("anchor", "digest", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor bigint, digest bigint, start bigint, end bigint")
 
 
-def _digest_ranges(rows: DataFrame) -> DataFrame:
-    """The same for anchors with very many snippets, through a digest of every window."""
+def _merged(owner: np.ndarray, start: np.ndarray, rows: list[tuple]) -> pa.RecordBatch:
+    """Windows of snippets, sorted by snippet and start, as ranges."""
+    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1))) if len(owner) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(owner))[: len(first)] - 1
+    at = owner[first].tolist()
+    columns = [[rows[k][0] for k in at], [rows[k][1] for k in at], start[first], start[last] + LENGTH]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "digest", "start", "end"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+#: A window of a hot anchor, as it travels: its 128-bit digest, its snippet, and where it starts in it.
+_RECORD = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("anchor", "<i8"), ("digest", "<i8"), ("start", "<i4")])
+
+
+def _digest_ranges(rows: DataFrame, windows: int) -> DataFrame:
+    """The same for anchors with very many snippets, through a digest of every window; windows: about how many there are.
+
+    A batch of snippets finds the repeats within itself, and sends one record of each different window on, packed by buckets of digests. So a
+    window that very many snippets share reaches its bucket once per batch, and a bucket's size follows from the number of buckets.
+    """
+    buckets = max(16, windows // 500_000)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_intdigest
+        low = (1 << 64) - 1
+
+        def out(some: list[tuple]) -> Iterator[pa.RecordBatch]:
+            count = np.array([len(r[3]) - LENGTH + 1 for r in some])
+            owner = np.repeat(np.arange(len(some)), count)
+            start = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            made = [digest(v[k : k + LENGTH], r[0] & low) for r in some for v in (memoryview(r[3]),) for k in range(len(r[3]) - LENGTH + 1)]
+            records = np.empty(len(made), _RECORD)
+            records["w1"], records["w2"] = [x & low for x in made], [x >> 64 for x in made]
+            records["anchor"], records["digest"], records["start"] = np.array([r[0] for r in some])[owner], np.array([r[1] for r in some])[owner], start
+            _, first, group, n = np.unique(records[["w1", "w2"]], return_index=True, return_inverse=True, return_counts=True)
+            twice = (n[group] > 1) | (np.array([r[2] for r in some])[owner] > 1)
+            found = _merged(owner[twice], start[twice], some)
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.nulls(found.num_rows, pa.int64()), pa.nulls(found.num_rows, pa.binary())], names)
+            sent = records[first]
+            at = (sent["w1"] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            edges = np.searchsorted(at[order], np.arange(buckets + 1))
+            full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
+            blobs = [sent[order[edges[b] : edges[b + 1]]].tobytes() for b in full]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(full), pa.int64()) for _ in range(4)), pa.array(full, pa.int64()), pa.array(blobs, pa.binary())], names)
+
+        names = ["anchor", "digest", "start", "end", "bucket", "blob"]
+        held: list[tuple] = []
+        for batch in batches:
+            held += zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "copies", "bytes")), strict=True)
+            if len(held) >= 8 * MANY:
+                yield from out(held)
+                held = []
+        if held:
+            yield from out(held)
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(blobs: list[bytes]) -> pa.RecordBatch:
+            records = np.frombuffer(b"".join(blobs), _RECORD)
+            _, group, n = np.unique(records[["w1", "w2"]], return_inverse=True, return_counts=True)
+            hit = records[n[group] > 1]
+            hit = hit[np.lexsort((hit["start"], hit["digest"], hit["anchor"]))]
+            return _merged(np.arange(len(hit)), hit["start"].astype(np.int64), hit[["anchor", "digest"]].tolist())
+
+        held: list[bytes] = []
+        now = None
         for batch in batches:
-            for anchor, d, copies, b in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "copies", "bytes")), strict=True):
-                view, n = memoryview(b), len(b) - LENGTH + 1
-                made = np.array([[(x := digest(view[k : k + LENGTH])) & 0xFFFFFFFFFFFFFFFF, x >> 64] for k in range(n)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int64)) for v in (anchor, d, copies)] + [pa.array(np.arange(n)), pa.array(made[:, 0]), pa.array(made[:, 1])], ["anchor", "digest", "copies", "start", "w1", "w2"])
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield out(held)
+                    held = []
+                now = bucket
+                held.append(blob)
+        if held:
+            yield out(held)
 
-    windows = bounded(rows).mapInArrow(run, "anchor bigint, digest bigint, copies bigint, start bigint, w1 bigint, w2 bigint")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1").drop("n")
-    return windows.join(twice, ["w1", "w2"]).select("anchor", "digest", "start", (F.col("start") + LENGTH).alias("end"))
+    schema = "anchor bigint, digest bigint, start bigint, end bigint"
+    made = written(bounded(rows).mapInArrow(near, f"{schema}, bucket bigint, blob binary"), "hot-windows")
+    packed = made.filter("bucket is not null").select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
+    return made.filter("bucket is null").select("anchor", "digest", "start", "end").union(packed.mapInArrow(far, schema))
 
 
 def repeated_spans(rows: DataFrame, many: int = MANY) -> DataFrame:
     """(doc_id, h, text) to (doc_id, h, start, end), byte ranges that repeats cover; they may overlap."""
     occ = written(occurrences(rows.filter(F.octet_length("text") >= LENGTH)), "snippets")
     keys = occ.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).filter("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
+    keys = written(keys, "anchors")  # a plain table, so that Spark can split an anchor that very many rows have
     shared = written(occ.join(keys, "anchor"), "shared-snippets")
     counts = shared.groupBy("anchor", "digest", "mixed").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "h", "first", "size")).alias("one"))
     counts = written(counts, "snippet-counts")
@@ -217,7 +284,9 @@ def repeated_spans(rows: DataFrame, many: int = MANY) -> DataFrame:
     hot = written(sizes.filter(F.col("n") > many).select("anchor"), "hot-anchors")
     ranges = _sorted_ranges(cut.join(hot, "anchor", "left_anti"))
     if hot.head(1):
-        ranges = ranges.union(_digest_ranges(cut.join(hot, "anchor", "left_semi")))
+        windows = cut.join(hot, "anchor", "left_semi")
+        number = windows.agg(F.sum(F.octet_length("bytes") - LENGTH + 1)).first()[0]
+        ranges = ranges.union(_digest_ranges(windows, number))
     ranges = written(ranges, "ranges")
     alone = shared.join(counts.filter("copies = 1").select("anchor", "digest"), ["anchor", "digest"]).join(ranges, ["anchor", "digest"])
     return whole.union(alone.select(*_KEYS, (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end")))
