@@ -58,6 +58,13 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), row_id, row_hash (of the text) and row_text (null as empty): whatever docs' columns are called, they stay apart from others."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(columns.alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.xxhash64(text).alias("row_hash"), text.alias("row_text"))
+
+
 def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose column `text` holds about `most` bytes; a longer text is a slice by itself."""
     for batch in batches:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import nested, written
 
 WINDOW = 10
 #: Rows of a table of benchmark pairs up to which it is broadcast.
@@ -124,30 +124,33 @@ def phrase_matches(index: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def proximity_matches(index: DataFrame, items: DataFrame, slack: int = 3) -> DataFrame:
-    """Near phrases: doc_id, h, item, start, n_pairs: places where at least half of an item's pairs lie within `slack` words of one alignment.
+    """Near phrases: doc_id, h, item, start, n_pairs for documents in which at least half of an item's pairs stand within `slack` words of
+    where one alignment asks for them; start and n_pairs are those of the best alignment.
 
-    Alignments are taken from postings of the item's rarest pair and grouped into bands of 2 * slack + 1 words, each place belonging to the
-    band of its seed.
+    Any half of the pairs includes one of the rarest half and one more, so the postings of these give all alignments; the postings of frequent
+    pairs are only looked up.
     """
     counted = index.filter("pair is not null").groupBy("pair").count()
     pairs = items.filter("next is not null").select("item", "version", "m", "off", F.xxhash64("word", "next").alias("pair"))
-    rarest = pairs.join(counted, "pair").groupBy("item", "version", "m").agg(F.min(F.struct("count", "off", "pair")).alias("r"))
+    order = Window.partitionBy("item", "version").orderBy(F.coalesce("count", F.lit(0)), "off")
+    seeds = pairs.join(counted, "pair", "left").withColumn("rarity", F.row_number().over(order)).filter("rarity <= (m - 1) div 2 + 1").select("item", "version", "m", "off", "pair")
     postings = index.filter("pair is not null").select(*_DOC, "pair", "pos").distinct()
-    seeds = rarest.select("item", "version", "m", F.col("r.off").alias("off"), F.col("r.pair").alias("pair"))
-    start = postings.join(few(seeds, seeds.count()), "pair").select(*_DOC, "item", "version", "m", (F.col("pos") - F.col("off")).alias("start"))
+    start = postings.join(few(seeds, seeds.count()), "pair").select(*_DOC, "item", "version", "m", (F.col("pos") - F.col("off")).alias("start")).distinct()
     wanted = start.join(few(pairs.select("item", "version", "off", "pair"), pairs.count()), ["item", "version"])
     spread = wanted.select("*", F.explode(F.sequence(F.lit(-slack), F.lit(slack))).alias("s")).withColumn("where", F.col("start") + F.col("off") + F.col("s")).alias("w")
     p = postings.alias("p")
     near = spread.join(p, F.col("w.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("w.h") == F.col("p.h")) & (F.col("w.pair") == F.col("p.pair")) & (F.col("w.where") == F.col("p.pos")), "left_semi")
-    return near.groupBy(*_DOC, "item", "m", "start").agg(F.count_distinct("off").alias("n_pairs")).filter("2 * n_pairs >= m - 1").select(*_DOC, "item", "start", "n_pairs")
+    counts = near.groupBy(*_DOC, "item", "version", "m", "start").agg(F.count_distinct("off").alias("n_pairs")).filter("2 * n_pairs >= m - 1")
+    best = counts.groupBy(*_DOC, "item").agg(F.max(F.struct("n_pairs", (-F.col("start")).alias("left"))).alias("b"))
+    return best.select(*_DOC, "item", (-F.col("b.left")).alias("start"), F.col("b.n_pairs").alias("n_pairs"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without any window of the benchmark, all columns kept. Cases as in contamination."""
     items = written(item_words(benchmark), "items")
     hit = phrase_matches(build_index(docs, items), items).select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h")).distinct()
-    rows = docs.withColumn("text_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return rows.join(written(hit, "hits"), F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")) & (F.col("text_h") == F.col("hit_h")), "left_anti").select(*docs.columns)
+    rows = nested(docs).drop("row_text")
+    return rows.join(written(hit, "hits"), F.col("row_id").eqNullSafe(F.col("hit_id")) & (F.col("row_hash") == F.col("hit_h")), "left_anti").select("row.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

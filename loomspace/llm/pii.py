@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import id_text, nested, written
 
 #: The base patterns, written so that no start is tried twice: a run of a pattern's first characters is entered at its
 #: beginning, or where the match before ended, and never given back.
@@ -144,11 +144,10 @@ def counted(spans: str, kind: str) -> Column:
 def redacted(docs: DataFrame, parameters: Bootstrap | None = None) -> DataFrame:
     """docs with each span of personal_data in `text` replaced by its kind in brackets; of spans that overlap the first counts."""
     spans = personal_data(docs, parameters).filter("size(spans) > 0").select(F.col("doc_id").alias("span_id"), F.col("h").alias("span_h"), "spans").dropDuplicates(["span_id", "span_h"])
-    rows = docs.withColumn("text_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = rows.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("span_id")) & (F.col("text_h") == F.col("span_h")), "left")
+    both = nested(docs).join(spans, F.col("row_id").eqNullSafe(F.col("span_id")) & (F.col("row_hash") == F.col("span_h")), "left")
     apart = "aggregate(spans, cast(array() as array<struct<start:int,rank:int,end:int>>), (a, s) -> case when size(a) = 0 or element_at(a, -1).end <= s.start then concat(a, array(s)) else a end)"
     kinds = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    pieces = f"array_join(transform(cut, (s, i) -> concat(substring(text, coalesce(get(cut, i - 1).end, 0) + 1, s.start - coalesce(get(cut, i - 1).end, 0)), array({kinds})[s.rank])), '')"
+    pieces = f"array_join(transform(cut, (s, i) -> concat(substring(row_text, coalesce(get(cut, i - 1).end, 0) + 1, s.start - coalesce(get(cut, i - 1).end, 0)), array({kinds})[s.rank])), '')"
     both = both.withColumn("cut", F.expr(f"case when spans is not null then {apart} end"))
-    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.expr(f"concat({pieces}, substring(text, element_at(cut, -1).end + 1))"))
-    return both.withColumn("text", text).select(*docs.columns)
+    text = F.when(F.col("cut").isNull(), F.col("row")["text"]).otherwise(F.expr(f"concat({pieces}, substring(row_text, element_at(cut, -1).end + 1))"))
+    return both.select(*((text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))

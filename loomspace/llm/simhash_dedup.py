@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded, id_text, text_bytes, written
+from .common import blocks, bounded, id_text, nested, text_bytes, written
 from .components import components
 
 RADIUS = 3
@@ -189,7 +189,7 @@ def simhash_filter(docs: DataFrame, small: int = SMALL) -> DataFrame:
     # the least row of a fingerprint first, so that a group with very many rows is aggregated before it is joined
     first = found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first"))
     stay = first.join(named, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("stay_id"), F.col("first.h").alias("stay_h"))
-    rows = docs.withColumn("text_h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("long_id", F.col("doc_id").cast("long"))
-    both = rows.join(stay, F.col("long_id").eqNullSafe(F.col("stay_id")) & (F.col("text_h") == F.col("stay_h")), "left_semi")
-    order = Window.partitionBy("long_id", "text_h").orderBy(*(F.col(c) for c in docs.columns if c != "text"))
-    return both.withColumn("copy", F.row_number().over(order)).filter("copy = 1").select(*docs.columns)
+    rows = nested(docs).drop("row_text")
+    both = rows.join(stay, F.col("row_id").eqNullSafe(F.col("stay_id")) & (F.col("row_hash") == F.col("stay_h")), "left_semi")
+    order = Window.partitionBy("row_id", "row_hash").orderBy(*(F.col("row")[c] for c in docs.columns if c != "text"))
+    return both.withColumn("copy", F.row_number().over(order)).filter("copy = 1").select("row.*")
