@@ -123,4 +123,22 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL}
+#: All 200-byte strings of all documents, those that start twice, and the maximal runs that they cover. Row by row, as repeated rows are documents too.
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, s, b[s + 1 : s + 200] AS bytes FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199)) AS s FROM d WHERE octet_length(b) >= 200)),
+twice AS (SELECT bytes FROM w GROUP BY bytes HAVING count(*) > 1),
+hit AS (SELECT r, s FROM w SEMI JOIN twice USING (bytes)),
+marked AS (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS run FROM (SELECT r, s, CASE WHEN s - lag(s) OVER (PARTITION BY r ORDER BY s) <= 200 THEN 0 ELSE 1 END AS new FROM hit)),
+runs AS (SELECT r, run, min(s) AS a, max(s) + 200 AS z FROM marked GROUP BY r, run),
+gaps AS (
+  SELECT r, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS f, a AS t FROM runs
+  UNION ALL SELECT d.r, coalesce(max(z), 0), octet_length(any_value(b)) FROM d LEFT JOIN runs USING (r) GROUP BY d.r
+),
+kept AS (SELECT g.r, string_agg(hex(b[f + 1 : t]), '' ORDER BY f, t) AS h FROM gaps g JOIN d USING (r) GROUP BY g.r),
+sums AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN sums USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL, "op10_suffix_dedup": OP10_SQL}
