@@ -288,7 +288,8 @@ def repeated_spans(rows: DataFrame, many: int = MANY) -> DataFrame:
         number = windows.agg(F.sum(F.octet_length("bytes") - LENGTH + 1)).first()[0]
         ranges = ranges.union(_digest_ranges(windows, number))
     ranges = written(ranges, "ranges")
-    alone = shared.join(counts.filter("copies = 1").select("anchor", "digest"), ["anchor", "digest"]).join(ranges, ["anchor", "digest"])
+    # a snippet that occurs once is where counts found it
+    alone = counts.filter("copies = 1 and mixed").select("anchor", "digest", "one.*").join(ranges, ["anchor", "digest"])
     return whole.union(alone.select(*_KEYS, (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end")))
 
 
