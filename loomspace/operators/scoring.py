@@ -37,11 +37,10 @@ def tfidf(frequencies: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def top_terms(scores: DataFrame, n: int | None) -> DataFrame:
-    """The n best terms of each source, ties by term; Spark limits each group before the shuffle. None: all."""
-    if n is None:
-        return scores
+    """The n best terms of each source with their rank, ties by term; Spark limits each group before the shuffle. None: all of them."""
     order = Window.partitionBy("source").orderBy(F.round("score", 9).desc(), "term")
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    ranked = scores.withColumn("rank", F.row_number().over(order))
+    return ranked if n is None else ranked.filter(F.col("rank") <= n)
 
 
 def strengths(scores: DataFrame, normalize: str = "pooled") -> DataFrame:

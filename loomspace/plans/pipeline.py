@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -29,9 +29,10 @@ def dry_run(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
 
 def placed_terms(terms: DataFrame, embedded: DataFrame, settings: Settings, dimension: int, registry: sharding.Registry | None = None) -> tuple[DataFrame, sharding.Registry]:
     """terms joined to (term, v), placed and routed. Terms without a vector are left out. The order of routing is that of source, score and term."""
-    order = ["source", F.round("score", 9).desc(), "term"]
     ranked = terms.join(embedded, "term").withColumn("id", F.xxhash64("source", "term"))
-    numbered = ranked.withColumn("ord", _row_number(order))
+    # only the sources are numbered in one place; within a source the rank is known
+    sources = terms.select("source").distinct().withColumn("source_no", F.row_number().over(Window.orderBy("source")))
+    numbered = ranked.join(sources, "source").withColumn("ord", F.col("source_no") * F.lit(1 << 32) + F.col("rank")).drop("source_no")
     spots = placement.positions(numbered.select("id", "ord", "strength", "v"), settings.placement, dimension)
     spots = spots.select("id", "ord", "pos", "gromov_delta", "class", "eigenvalue_ratio", "first_dominance", "neg_eigenvalue_fraction")
     found = sharding.find_anchors(spots, settings.placement.shard_radius, registry)
@@ -39,13 +40,6 @@ def placed_terms(terms: DataFrame, embedded: DataFrame, settings: Settings, dime
     return routed.join(numbered.drop("ord", "v"), "id").withColumnRenamed("term", "raw_term").withColumnRenamed("first_line", "source_line"), found
 
 
-def _row_number(order: list):
-    from pyspark.sql import Window
-
-    # terms are capped per source, so this orders sources x cap rows
-    return F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("bigint")
-
-
 def enriched(concepts: DataFrame, docs: DataFrame, terms: DataFrame, settings: Settings, summarize: Callable[[str], str], name: Callable[[str], str]) -> DataFrame:
     """concepts with description and label: a sentence from the chunks of most signal in the concept's own source, and a validated name."""
     prompts = summary_prompts(docs, terms, settings)
