@@ -95,10 +95,13 @@ def _candidates(rows: DataFrame, shortest: int) -> DataFrame:
 
 
 def _learn(seen: DataFrame, p: Bootstrap) -> DataFrame:
-    """(value, rank): the unseen instances that high-confidence patterns hold. seen: distinct (pattern, value, rank or null)."""
+    """(value, rank): the unseen instances that high-confidence patterns hold. seen: (pattern, value, rank or null).
+
+    Both sides of a join by value or pattern are plain tables, so that Spark can split a value or pattern that very many edges have.
+    """
     edges = written(seen.filter("pattern <> ''").groupBy("pattern", "value").agg(F.max("rank").alias("seed")), "pii-edges")
     # a value that a base pattern covers anywhere is a seed of that kind
-    seeds = edges.filter("seed is not null").groupBy("value").agg(F.max("seed").alias("rank"))
+    seeds = written(edges.filter("seed is not null").groupBy("value").agg(F.max("seed").alias("rank")), "pii-seeds")
     known = edges.drop("seed").join(seeds, "value", "left")
     held = written(known, "pii-graph")
     scores = held.filter("rank is not null").select("value", "rank", F.lit(1.0).alias("score")).distinct()
@@ -108,7 +111,8 @@ def _learn(seen: DataFrame, p: Bootstrap) -> DataFrame:
     for _ in range(p.rounds):
         by_pattern = held.select("pattern", "value").join(scores, "value").groupBy("pattern", "rank").agg(F.sum("score").alias("mass"))
         patterns = by_pattern.join(strong, ["pattern", "rank"]).withColumn("trust", F.col("mass") / (F.col("n") + 0.5)).filter(F.col("trust") >= p.confidence)
-        fresh = held.filter("rank is null").select("pattern", "value").join(patterns.select("pattern", "rank", "trust"), "pattern")
+        patterns = written(patterns.select("pattern", "rank", "trust"), "pii-patterns")
+        fresh = held.filter("rank is null").select("pattern", "value").join(patterns, "pattern")
         fresh = fresh.groupBy("value", "rank").agg((1 - F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999)))))).alias("score"))
         scores = written(held.filter("rank is not null").select("value", "rank", F.lit(1.0).alias("score")).distinct().unionByName(fresh), "pii-scores")
     new = scores.join(held.filter("rank is not null").select("value").distinct(), "value", "left_anti").filter(F.col("score") >= p.confidence)
