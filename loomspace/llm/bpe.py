@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded, id_text
+from .common import blocks, bounded, id_text, written
 from .bytewords import distinct, has_unknown, split_words
 from .lexicon import Lexicon, compile_lexicon, ragged
 
@@ -220,7 +220,7 @@ def covered(made: dict) -> bool:
 
 
 def frequent_words(docs: DataFrame, words: int = WORDS) -> list[str]:
-    """The words (between white space) of all documents that are most frequent by merged Misra-Gries summaries, at most `words`."""
+    """The words (between white space) of all documents that are most frequent by merged Misra-Gries summaries, at most `words`, in order of the alphabet."""
 
     def pruned(counts: Counter) -> Counter:
         if len(counts) <= words:
@@ -239,8 +239,17 @@ def frequent_words(docs: DataFrame, words: int = WORDS) -> list[str]:
         rows = [(w, n) for w, n in counts.items() if len(w) <= LONGEST]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
 
-    merged = bounded(id_text(docs)).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in merged.orderBy(F.desc("n"), "word").limit(words).collect()]
+    counts = bounded(id_text(docs)).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    level = F.floor(F.log2("n") * 8).cast("int")
+    merged = written(counts.withColumn("level", level), "word-counts")
+    # words that are as frequent on a logarithmic scale come together or not at all, so that no partition sends more than is used
+    room, least = words, None
+    for r in sorted(merged.groupBy("level").count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    return [] if least is None else sorted(r.word for r in merged.filter(F.col("level") >= least).select("word").collect())
 
 
 def compiled(docs: DataFrame, path: str, words: int = WORDS) -> bytes:
