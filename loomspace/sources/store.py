@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +56,7 @@ def shard_toml(shard_id: str, concepts: list[dict]) -> str:
 def toml_shards(concepts: DataFrame) -> DataFrame:
     """(shard_id, toml) per shard that has concepts; a shard's rows meet in one task, as a file of it has to."""
 
-    def made(key: tuple, rows):
-        import pandas as pd
-
+    def made(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"shard_id": [key[0]], "toml": [shard_toml(key[0], rows.to_dict("records"))]})
 
     columns = ["shard_id", "raw_term", "label", "description", "strength", "source", "source_line", "local_pos", "gromov_delta", "eigenvalue_ratio", "first_dominance", "neg_eigenvalue_fraction"]
