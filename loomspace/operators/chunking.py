@@ -13,10 +13,16 @@ from ..functions import text as T
 _SPAN = 4096
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt to all cores where the scan has fewer splits than there are cores (one small file); larger inputs stay where they are read."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+
+
 def chunks(docs: DataFrame, settings: Ingest | None = None) -> DataFrame:
     """(doc_id, source, text) to (source, doc_id, start, text, source_line); a text of no characters has no chunks, the last chunk may be short."""
     s = settings or Ingest()
-    starts = docs.select("source", "doc_id", "text", F.explode(T.chunk_starts(F.col("text"), s.stride)).alias("start"))
+    starts = spread(docs.select("source", "doc_id", "text")).select("source", "doc_id", "text", F.explode(T.chunk_starts(F.col("text"), s.stride)).alias("start"))
     return starts.select("source", "doc_id", "start", F.substring("text", F.col("start") + 1, F.lit(s.chunk_size)).alias("chunk"), T.line_of(F.col("text"), F.col("start")).alias("source_line")).withColumnRenamed("chunk", "text")
 
 

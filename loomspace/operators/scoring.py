@@ -19,10 +19,15 @@ def chunk_terms(cut: DataFrame, max_n: int = 3) -> DataFrame:
 
 
 def document_frequency(terms: DataFrame, settings: Scoring | None = None) -> DataFrame:
-    """(source, term, df, first_line): chunks that hold the term, at least min_occurrences, and the line of the first of them."""
+    """(source, term, df): chunks that hold the term, at least min_occurrences. One hash aggregation, combined before its shuffle."""
     s = settings or Scoring()
-    found = terms.groupBy("source", "term").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "start", "source_line")).alias("first"))
-    return found.filter(F.col("df") >= s.min_occurrences).select("source", "term", "df", F.col("first.source_line").alias("first_line"))
+    return terms.groupBy("source", "term").agg(F.count("*").alias("df")).filter(F.col("df") >= s.min_occurrences)
+
+
+def first_lines(terms: DataFrame, kept: DataFrame) -> DataFrame:
+    """kept with first_line, the line of the first chunk that holds the term; kept is what the caps per source left."""
+    found = terms.join(kept.select("source", "term"), ["source", "term"]).groupBy("source", "term").agg(F.min(F.struct("doc_id", "start", "source_line")).alias("first"))
+    return kept.join(found.select("source", "term", F.col("first.source_line").alias("first_line")), ["source", "term"])
 
 
 def chunk_counts(docs: DataFrame, stride: int) -> DataFrame:

@@ -82,9 +82,10 @@ def top_terms_small(spark, sf_dir):
 def term_chunk_lists(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     cut = chunking.numbered(docs, chunking.chunks(docs))
-    top = scoring.top_terms(_scores(spark, sf_dir), 100).select("source", "term", "first_line")
+    top = scoring.top_terms(_scores(spark, sf_dir), 100).select("source", "term")
     rows = scoring.chunk_terms(cut).join(top, ["source", "term"]).join(cut.select("source", "doc_id", "start", "chunk_no"), ["source", "doc_id", "start"])
-    lists = rows.groupBy("source", "term", "first_line").agg(F.array_join(F.sort_array(F.collect_list("chunk_no")).cast("array<string>"), ",").alias("chunk_nos"))
+    first = F.min(F.struct("chunk_no", "source_line"))["source_line"].alias("first_line")
+    lists = rows.groupBy("source", "term").agg(F.array_join(F.sort_array(F.collect_list("chunk_no")).cast("array<string>"), ",").alias("chunk_nos"), first)
     return lists.select("source", "term", "chunk_nos", "first_line")
 
 

@@ -17,13 +17,13 @@ from ..sources import models, store
 def scored_terms(docs: DataFrame, settings: Settings) -> DataFrame:
     """(source, term, df, score, first_line, rank, strength) of the best terms of each source."""
     cut = chunking.chunks(docs, settings.ingest)
-    frequencies = scoring.document_frequency(scoring.chunk_terms(cut, settings.scoring.max_n), settings.scoring)
-    scores = scoring.tfidf(frequencies, scoring.chunk_counts(docs, settings.ingest.stride))
-    return scoring.strengths(scoring.top_terms(scores, settings.max_concepts_per_source), settings.normalize)
+    terms = scoring.chunk_terms(cut, settings.scoring.max_n)
+    scores = scoring.tfidf(scoring.document_frequency(terms, settings.scoring), scoring.chunk_counts(docs, settings.ingest.stride))
+    return scoring.first_lines(terms, scoring.strengths(scoring.top_terms(scores, settings.max_concepts_per_source), settings.normalize))
 
 
 def dry_run(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """How many terms each strength threshold would leave; no models are called and nothing is written."""
+    """How many terms each strength threshold would leave; no models are called and nothing is stored."""
     return scoring.survival(scored_terms(docs, settings or Settings()))
 
 
