@@ -3,7 +3,7 @@
 Seeds are the spans of the base patterns. Candidates are runs of tokens with a digit or an @, each with the two words before it as
 its lexical pattern. Over the graph of patterns and instances (distinct values) Spark scores in rounds: a pattern is as good
 for a kind as the share of its instances that are of that kind, an instance as good as the noisy-or of its patterns
-(after Snowball: Agichtein & Gravano, 2000). What high-confidence patterns hold and no base pattern covers is added.
+(after Snowball: Agichtein & Gravano, 2000), until the scores settle. What high-confidence patterns hold and no base pattern covers is added.
 """
 
 from __future__ import annotations
@@ -34,11 +34,13 @@ _VALID = {
 #: Runs of tokens that hold a digit or an @.
 _TOKEN = r"(?<!\\S)(?=[^\\s0-9@]*[0-9@])\\S++(?:\\x20(?=[^\\s0-9@]*[0-9@])\\S++)*+"
 _BLOCK = 128
+#: A trust that grows by no more than this in a round has settled.
+_SETTLED = 1e-6
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """rounds of scoring; support: distinct seeds that a pattern needs; confidence: what patterns and instances need."""
+    """rounds of scoring at least; support: distinct seeds or found values that a pattern needs; confidence: what patterns and instances need."""
 
     rounds: int = 3
     support: int = 3
@@ -97,6 +99,8 @@ def _candidates(rows: DataFrame, shortest: int) -> DataFrame:
 def _learn(seen: DataFrame, p: Bootstrap) -> DataFrame:
     """(value, rank): the unseen instances that high-confidence patterns hold. seen: (pattern, value, rank or null).
 
+    What a round finds is support for other patterns in the next. Masses, trusts and scores only grow from round to round, so the rounds
+    end, and they go on until no pattern is new and no trust grows.
     Both sides of a join by value or pattern are plain tables, so that Spark can split a value or pattern that very many edges have.
     """
     edges = written(seen.filter("pattern <> ''").groupBy("pattern", "value").agg(F.max("rank").alias("seed")), "pii-edges")
@@ -104,18 +108,24 @@ def _learn(seen: DataFrame, p: Bootstrap) -> DataFrame:
     seeds = written(edges.filter("seed is not null").groupBy("value").agg(F.max("seed").alias("rank")), "pii-seeds")
     known = edges.drop("seed").join(seeds, "value", "left")
     held = written(known, "pii-graph")
-    scores = held.filter("rank is not null").select("value", "rank", F.lit(1.0).alias("score")).distinct()
-    sizes = held.groupBy("pattern").agg(F.count("*").alias("n"))
-    support = held.filter("rank is not null").groupBy("pattern", "rank").agg(F.count("*").alias("support")).filter(F.col("support") >= p.support)
-    strong = written(support.join(sizes, "pattern"), "pii-support")
-    for _ in range(p.rounds):
-        by_pattern = held.select("pattern", "value").join(scores, "value").groupBy("pattern", "rank").agg(F.sum("score").alias("mass"))
-        patterns = by_pattern.join(strong, ["pattern", "rank"]).withColumn("trust", F.col("mass") / (F.col("n") + 0.5)).filter(F.col("trust") >= p.confidence)
-        patterns = written(patterns.select("pattern", "rank", "trust"), "pii-patterns")
-        fresh = held.filter("rank is null").select("pattern", "value").join(patterns, "pattern")
-        fresh = fresh.groupBy("value", "rank").agg((1 - F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999)))))).alias("score"))
-        scores = written(held.filter("rank is not null").select("value", "rank", F.lit(1.0).alias("score")).distinct().unionByName(fresh), "pii-scores")
-    new = scores.join(held.filter("rank is not null").select("value").distinct(), "value", "left_anti").filter(F.col("score") >= p.confidence)
+    # a pattern of fewer values than `support` can never have it
+    sizes = written(held.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= p.support), "pii-sizes")
+    seeded = written(held.filter("rank is not null").groupBy("pattern", "rank").agg(F.count("*").alias("mass")).select("pattern", "rank", F.col("mass").cast("double"), F.col("mass").alias("support")), "pii-support")
+    unseen = written(held.filter("rank is null").select("pattern", "value").join(sizes.select("pattern"), "pattern", "left_semi"), "pii-unseen")
+    mass, before, done = seeded, None, 0
+    while True:
+        scored = mass.filter(F.col("support") >= p.support).join(sizes, "pattern").withColumn("trust", F.col("mass") / (F.col("n") + 0.5))
+        patterns = written(scored.filter(F.col("trust") >= p.confidence).select("pattern", "rank", "trust"), "pii-patterns")
+        moved = patterns if before is None else patterns.join(before.withColumnRenamed("trust", "was"), ["pattern", "rank"], "left").filter(F.col("was").isNull() | (F.col("trust") - F.col("was") > _SETTLED))
+        settled, done, before = moved.isEmpty(), done + 1, patterns
+        if settled and (done >= p.rounds or patterns.isEmpty()):
+            break
+        fresh = unseen.join(patterns, "pattern").groupBy("value", "rank").agg((1 - F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999)))))).alias("score"))
+        scores = written(fresh, "pii-scores")
+        # what was found counts like a seed: by its score, and as support where that reaches the confidence
+        found = unseen.join(scores, "value").groupBy("pattern", "rank").agg(F.sum("score").alias("mass"), F.sum((F.col("score") >= p.confidence).cast("long")).alias("support"))
+        mass = seeded.unionByName(found).groupBy("pattern", "rank").agg(F.sum("mass").alias("mass"), F.sum("support").alias("support"))
+    new = unseen.join(patterns, "pattern").groupBy("value", "rank").agg((1 - F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999)))))).alias("score")).filter(F.col("score") >= p.confidence)
     return new.groupBy("value").agg(F.max_by("rank", F.struct("score", -F.col("rank"))).alias("rank"))
 
 

@@ -46,6 +46,23 @@ def test_context_finds_unseen_identifiers(spark):
     assert got["101"] == ("", "") and all(got[str(k)][0] == got[str(k)][1] != "" for k in range(8))
 
 
+def test_found_identifiers_support_other_contexts(spark):
+    """A chain of contexts: base matches stand in the first only, what one context finds is the support of the next."""
+    contexts = ["reach me at", "please write to", "or ask for", "copies go to"]
+    rows, names = [f"{contexts[0]} user{k}@mail{k}.example.org now" for k in range(40)], []
+    for k, c in enumerate(contexts):
+        names.append([f"n{k}x{j}(at)host{j}.example" for j in range(8)])
+        rows += [f"{c} {v} now" for v in names[k][: 2 if k else 8]] + ([f"{c} {v} now" for v in names[k - 1][: 2 if k > 1 else 8]] if k else [])
+        if k > 1:
+            rows += [f"{c} {v} now" for v in names[0][:8]]
+    # a context that the settled trust of the first alone brings over the threshold: 4 of 5 values, 0.97 * 4 / 5.5
+    edge = [f"e{j}(at)edge{j}.example" for j in range(5)]
+    rows += [f"mail straight {v} now" for v in edge] + [f"hello from e{j}@edge{j}.example.org now" for j in range(16)] + [f"hello from {v} now" for v in edge[:4]]
+    got = {i: (b, s) for i, b, s in found(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))}
+    assert all(s.startswith("email:") and "," not in s for _, s in got.values()), [rows[int(i)] for i, (_, s) in got.items() if not s]
+    assert sum(b == "" for b, _ in got.values()) == len(rows) - 56
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.example now", 3), (2, "none", None), (3, None, 1), (4, "10.0.0.1 and +1 (743) 555-3824", 1), (1, "other text", 1), (5, "x@1.2.3.4", 0), (5, "x@1.2.3.4", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
