@@ -156,10 +156,10 @@ def counted(spans: str, kind: str) -> Column:
 
 
 def redacted(docs: DataFrame, parameters: Bootstrap | None = None) -> DataFrame:
-    """docs with each span of personal_data in `text` replaced by its kind in brackets; of spans that overlap the first counts."""
+    """docs with each span of personal_data in `text` replaced by its kind in brackets; of spans that overlap the first counts, and what a later one covers beyond it gets the later kind."""
     spans = personal_data(docs, parameters).filter("size(spans) > 0").select(F.col("doc_id").alias("span_id"), F.col("h").alias("span_h"), "spans").dropDuplicates(["span_id", "span_h"])
     both = nested(docs).join(spans, F.col("row_id").eqNullSafe(F.col("span_id")) & (F.col("row_hash") == F.col("span_h")), "left")
-    apart = "aggregate(spans, cast(array() as array<struct<start:int,rank:int,end:int>>), (a, s) -> case when size(a) = 0 or element_at(a, -1).end <= s.start then concat(a, array(s)) else a end)"
+    apart = "aggregate(spans, cast(array() as array<struct<start:int,rank:int,end:int>>), (a, s) -> case when size(a) = 0 or element_at(a, -1).end <= s.start then concat(a, array(s)) when element_at(a, -1).end < s.end then concat(a, array(named_struct('start', element_at(a, -1).end, 'rank', s.rank, 'end', s.end))) else a end)"
     kinds = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     pieces = f"array_join(transform(cut, (s, i) -> concat(substring(row_text, coalesce(get(cut, i - 1).end, 0) + 1, s.start - coalesce(get(cut, i - 1).end, 0)), array({kinds})[s.rank])), '')"
     both = both.withColumn("cut", F.expr(f"case when spans is not null then {apart} end"))

@@ -77,6 +77,12 @@ def test_odd_rows(odd_docs, empty_docs, odd_rows):
     assert P.redacted(odd_docs).count() == len(odd_rows)
 
 
+def test_redaction_of_overlaps(spark):
+    rows = [(1, "at 192.168.1.18 4111 1111 1111 1111 end"), (2, "+1 743 555 3824@mail.example now"), (3, "x@1.2.3.4 y")]
+    made = {r.doc_id: r.text for r in P.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert made == {1: "at [IP][CARD] end", 2: "[PHONE][EMAIL] now", 3: "[EMAIL] y"}
+
+
 @pytest.mark.parametrize("n", [127, 128, 129, 400])
 def test_many_matches(spark, n):
     text = " é ".join("a@b.cd" for _ in range(n))
