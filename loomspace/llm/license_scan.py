@@ -2,7 +2,8 @@
 
 A document is aligned with each template of a license: words that are unique to both texts and stand in both are anchors, the longest
 increasing subsequence of their positions is kept, and the gaps between kept anchors are aligned in the same way; a gap without anchors
-extends matches from its ends. The aligned share of a template's words is its coverage.
+extends matches from its ends. Where that leaves words out that could be aligned, the longest common subsequence decides. The aligned share of
+a template's words is its coverage.
 
 The number of a template's words that a document has at all, each as often as in both, bounds its coverage from above. Only templates whose bound
 reaches the threshold are aligned, which leaves out nothing that could be reported.
@@ -20,9 +21,6 @@ from pyspark.sql import DataFrame
 
 from .common import blocks, bounded, id_text
 
-#: Words of a document that one alignment looks at, and by how much neighbouring pieces overlap: a template fits into the overlap.
-PIECE, OVERLAP = 4096, 1024
-
 #: Short forms and notices of public licenses: fixed values, to be matched as they are.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -108,34 +106,61 @@ def patience(doc: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def coverage(doc: list[str], template: list[str]) -> tuple[float, int, int]:
-    """Largest aligned share of the template in any piece of the document, and the first and last aligned word there (-1: none).
+def common(doc: list[str], template: list[str]) -> list[int]:
+    """Length of the longest common subsequence of each beginning of doc with template, word by word in the bits of one number."""
+    bits: dict[str, int] = {}
+    for k, w in enumerate(template):
+        bits[w] = bits.get(w, 0) | 1 << k
+    full = (1 << len(template)) - 1
+    free, n, out = full, 0, []
+    for w in doc:
+        if w in bits:
+            hit = free & bits[w]
+            free = ((free + hit) | (free - hit)) & full
+            n = len(template) - free.bit_count()
+        out.append(n)
+    return out
+
+
+def aligned(doc: list[str], template: list[str], most: int) -> int:
+    """The largest number of aligned words: by patience where that reaches `most`, an upper bound, else (words stand there repeatedly, or a stray one is an anchor) by the longest common subsequence."""
+    n = len(patience(doc, template))
+    return n if n == most or not doc else common(doc, template)[-1]
 
-    Around the rarest shared word of the template each piece starts anew, so that a license line in a long text is not drowned by other
-    occurrences of its common words. Words that lie scattered over more than about twice the template's length are no match.
+
+def coverage(doc: list[str], template: list[str], threshold: float = 0.8) -> tuple[float, int, int]:
+    """Largest aligned share of the template in any passage of the document, and the first and last aligned word there (-1: none).
+
+    A passage has at most span words: what lies scattered over more than about twice the template's length is no match. Shares under the
+    threshold count as none. A passage that reaches it begins with one of the first words of the template, as the others are too few; each place
+    of such a word begins a window, which is aligned if it shares enough words with the template and more than the best one so far.
     """
-    rare = Counter(w for w in doc if w in set(template))
-    if not rare:
-        return 0.0, -1, -1
-    best = (0.0, -1, -1)
-    order = {w: k for k, w in enumerate(template)}
-    scarce = min(rare, key=lambda w: (rare[w], order[w]))
-    spots = [k for k, w in enumerate(doc) if w == scarce]
-    done = -1
-    span = min(2 * len(template) + 16, OVERLAP)
-    windows = [(max(0, k - span), k + span) for k in spots]
-    windows += [(k, k + PIECE) for k in range(0, max(1, len(doc) - OVERLAP), PIECE - OVERLAP)]
-    for low, high in windows:
-        if low == done:
-            continue
-        done = low
-        pairs = patience(doc[low:high], template)
-        share = len(pairs) / len(template)
-        if share > best[0] and pairs[-1][0] - pairs[0][0] < span:
-            best = (share, low + pairs[0][0], low + pairs[-1][0])
-        if share == 1:
-            break
-    return best
+    m = len(template)
+    span = 2 * m + 16
+    least = next((n for n in range(1, m + 1) if n / m >= threshold), m + 1)
+    wanted, early = Counter(template), set(template[: m - least + 1])
+    at = [k for k, w in enumerate(doc) if w in wanted]
+    words = [doc[k] for k in at]
+    best, end, most = (0, -1, -1), 0, 0
+    n, upto = m, 0
+    have: Counter = Counter()
+    for k, w in enumerate(words):
+        while end < len(at) and at[end] < at[k] + span:
+            have[words[end]] += 1
+            most += have[words[end]] <= wanted[words[end]]
+            end += 1
+        # a window has at most what the last aligned one had, and what came in since
+        if w in early and min(most, n + end - upto) >= max(least, best[0] + 1):
+            n, upto = aligned(words[k:end], template, most), end
+            if n >= max(least, best[0] + 1):
+                last = k + common(words[k:end], template).index(n)
+                first = last - common(words[k : last + 1][::-1], template[::-1]).index(n)
+                best = (n, at[first], at[last])
+                if n == m:
+                    break
+        most -= have[w] <= wanted[w]
+        have[w] -= 1
+    return best[0] / m, best[1], best[2]
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
@@ -156,7 +181,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
         hits = []
         for name, ws in cut.items():
             if sum(min(n, have[w]) for w, n in need[name].items()) >= threshold * len(ws):
-                share, first, last = coverage(doc, ws)
+                share, first, last = coverage(doc, ws, threshold)
                 if share >= threshold:
                     hits.append((-share, -len(ws), name, first, last))
         hits.sort()

@@ -29,6 +29,38 @@ def test_equal_texts_align_whole():
     assert L.coverage(["x"] * 50 + t[:60] + ["inserted", "words"] + t[60:] + ["y"] * 20, t)[0] == 1
 
 
+def brute_coverage(doc, template, threshold):
+    """By the definition: the longest common subsequence of the template and any window of 2 * m + 16 words."""
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j: max(left, row[j], row[j - 1] + (x == b[j - 1])), initial=0))
+        return row[-1]
+
+    share = max((longest(doc[k : k + 2 * len(template) + 16], template) for k in range(len(doc))), default=0) / len(template)
+    return share if share >= threshold else 0
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.sampled_from("abcdefxyz"), max_size=80), st.lists(st.sampled_from("abcdef"), min_size=1, max_size=8), st.sampled_from([0.5, 0.8, 1.0]))
+def test_coverage_is_the_best_of_any_window(doc, template, threshold):
+    share, first, last = L.coverage(doc, template, threshold)
+    assert share == brute_coverage(doc, template, threshold)
+    if share:
+        assert L.common(doc[first : last + 1], template)[-1] == round(share * len(template)) and last - first < 2 * len(template) + 16
+    else:
+        assert (first, last) == (-1, -1)
+
+
+def test_stray_words_of_a_template():
+    t = L.words_of(L.TEMPLATES["MIT"])
+    for gap in (30, 40, 5000):
+        doc = L.words_of("It was released in 2019. " + "other words " * (gap // 2) + "Licensed under the MIT License.")
+        assert L.coverage(doc, t) == (0.8, len(doc) - 4, len(doc) - 1)
+        assert L.coverage(["x"] * 100 + doc, t)[0] == 0.8
+
+
 def test_lines_are_found(spark):
     noise = "lorem ipsum the of under " * 2000
     rows = [
