@@ -61,6 +61,14 @@ def test_stray_words_of_a_template():
         assert L.coverage(["x"] * 100 + doc, t)[0] == 0.8
 
 
+def test_licenses_stated_twice(spark):
+    line, text = L.TEMPLATES["MIT"], L.TEMPLATES["ISC-text"]
+    rows = [(1, f"alpha {line} beta {line} gamma", "MIT"), (2, f"Copyright Ann {text} Copyright Bob {text}", "ISC-text"), (3, f"{text} " * 40, "ISC-text"), (4, f"{line} {text} " * 3, "ISC-text,MIT")]
+    found = {r.doc_id: (r.licenses, r.coverage) for r in L.license_matches(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert found == {k: (names, 1.0) for k, _, names in rows}
+    assert L.coverage(L.words_of(rows[0][1]), L.words_of(line)) == (1.0, 1, 5)
+
+
 def test_lines_are_found(spark):
     noise = "lorem ipsum the of under " * 2000
     rows = [
