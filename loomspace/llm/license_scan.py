@@ -46,12 +46,67 @@ TEMPLATES = {
     ),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-4.0-line": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-SA-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "BSD": "Released under the BSD License.",
+    "BSD-2-Clause": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause": "Licensed under the BSD 3-Clause License.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "Unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means."
+    ),
     "ISC-text": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
         "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
     ),
 }
 
+
+def _notice(name: str, version: str) -> str:
+    return TEMPLATES["GPL-3.0-notice"].replace("GNU General", name).replace("version 3", f"version {version}")
+
+
+TEMPLATES |= {"GPL-2.0-notice": _notice("GNU General", "2"), "LGPL-3.0-notice": _notice("GNU Lesser General", "3"), "AGPL-3.0-notice": _notice("GNU Affero General", "3")}
+
+_AS_PUBLISHED = r" general public license(?: (?!gnu |version )\S+){1,12} version "
+_LINE = r" general public license (?:l?a?gpl )?(?:version |v)?"
+#: What names a license in its template, as words one after the other: no other words stand for these, as those of another license would. Long texts that name no license have none here.
+NAMES = {
+    "MIT": r"mit (?:x11 |expat )?license",
+    "Apache-2.0": r"apache (?:software )?license (?:version |v)?2\.0",
+    "Apache-2.0-notice": r"apache (?:software )?license (?:version |v)?2\.0",
+    "GPL-2.0": rf"gnu{_LINE}2(?:\.0)?",
+    "GPL-3.0": rf"gnu{_LINE}3(?:\.0)?",
+    "LGPL-2.1": rf"gnu lesser{_LINE}2\.1",
+    "LGPL-3.0": rf"gnu lesser{_LINE}3(?:\.0)?",
+    "AGPL-3.0": rf"gnu affero{_LINE}3(?:\.0)?",
+    "GPL-2.0-notice": rf"gnu{_AS_PUBLISHED}2",
+    "GPL-3.0-notice": rf"gnu{_AS_PUBLISHED}3",
+    "LGPL-3.0-notice": rf"gnu lesser{_AS_PUBLISHED}3",
+    "AGPL-3.0-notice": rf"gnu affero{_AS_PUBLISHED}3",
+    "MPL-2.0": r"mozilla public license (?:version |v )?2\.0",
+    "MPL-2.0-notice": r"mozilla public license (?:version |v )?2\.0",
+    "CC-BY-4.0": r"creative commons attribution (?:cc by )?4\.0",
+    "CC-BY-4.0-line": r"cc by 4\.0",
+    "CC-BY-SA-4.0": r"cc by-sa 4\.0",
+    "CC-BY-SA-4.0-line": r"creative commons attribution-sharealike (?:cc by-sa )?4\.0",
+    "CC-BY-NC-4.0": r"cc by-nc 4\.0",
+    "CC-BY-NC-SA-4.0": r"cc by-nc-sa 4\.0",
+    "BSD": r"bsd license",
+    "BSD-2-Clause": r"bsd 2-clause",
+    "BSD-3-Clause": r"bsd 3-clause",
+}
+
 _WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 
 
@@ -163,15 +218,46 @@ def coverage(doc: list[str], template: list[str], threshold: float = 0.8) -> tup
     return best[0] / m, best[1], best[2]
 
 
-def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
+def spots(words: list[str], name: str) -> list[tuple[int, int]]:
+    """Where words one after the other match name: first word, and the one after the last."""
+    text, out, at, k = " ".join(words), [], 0, 0
+    for m in re.finditer(rf"(?<!\S)(?:{name})(?!\S)", text):
+        k += text.count(" ", at, m.start())
+        out.append((k, k + m[0].count(" ") + 1))
+        at = m.start()
+    return out
+
+
+def named_coverage(doc: list[str], template: list[str], name: str, threshold: float = 0.8) -> tuple[float, int, int]:
+    """As coverage, of the passages in which the name of the license stands: what is before and after it is aligned with what is before and after it in the template."""
+    m = len(template)
+    span = 2 * m + 16
+    c, d = spots(template, name)[0]
+    best = (0, -1, -1)
+    for p, q in spots(doc, name):
+        if q - p > span:
+            continue
+        left = [0, *common(doc[max(0, q - span) : p][::-1], template[:c][::-1])]
+        right = [0, *common(doc[q : p + span], template[d:])]
+        middle = common(doc[p:q], template[c:d])[-1]
+        for k, n in enumerate(left):
+            j = min(len(right) - 1, span - (q - p) - k)
+            if n + middle + right[j] > best[0]:
+                best = (n + middle + right[j], p - left.index(n), q + right.index(right[j]) - 1)
+    return (best[0] / m, best[1], best[2]) if best[0] / m >= threshold else (0.0, -1, -1)
+
+
+def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, names: dict[str, str] | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_words, licenses (matched names, sorted, comma-joined), n_licenses, best, coverage (of the best), first, last.
 
-    A license matches where its coverage reaches the threshold; best is the name of largest coverage, then of the longest template, then
+    A license matches where its coverage reaches the threshold, and its name stands there if names has one (NAMES unless there are other
+    templates); best is the name of largest coverage, then of the longest template, then
     the first by name, or null. Null and empty texts have no words and match nothing. Repeated rows each give a row, null ids are kept, an empty
     table gives no rows. Only doc_id and text are looked at.
     """
     cut = {name: words_of(text) for name, text in (templates or TEMPLATES).items()}
     cut = {name: ws for name, ws in cut.items() if ws}
+    called = names if names is not None else NAMES if templates is None else {}
     need = {name: Counter(ws) for name, ws in cut.items()}
     vocabulary = {w for ws in cut.values() for w in ws}
 
@@ -181,7 +267,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
         hits = []
         for name, ws in cut.items():
             if sum(min(n, have[w]) for w, n in need[name].items()) >= threshold * len(ws):
-                share, first, last = coverage(doc, ws, threshold)
+                share, first, last = named_coverage(doc, ws, called[name], threshold) if name in called else coverage(doc, ws, threshold)
                 if share >= threshold:
                     hits.append((-share, -len(ws), name, first, last))
         hits.sort()

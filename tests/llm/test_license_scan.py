@@ -69,6 +69,25 @@ def test_licenses_stated_twice(spark):
     assert L.coverage(L.words_of(rows[0][1]), L.words_of(line)) == (1.0, 1, 5)
 
 
+def test_licenses_go_by_their_names(spark):
+    rows = [
+        ("Released under the BSD License.", "BSD"), ("Licensed under CC BY 4.0.", "CC-BY-4.0-line"), ("Licensed under CC BY-ND 4.0.", ""), ("Licensed under the Apache License, Version 1.1", ""),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"), ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 2. See section 3", "GPL-2.0"), ("It was released under pressure by the MIT under a license.", ""),
+        ("Licensed under the Apache License 2.0", "Apache-2.0"), ("Licensed under the MIT License", "MIT"), ("Licensed under the MIT (X11) License", "MIT"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ""),
+    ]
+    found = L.license_matches(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {rows[r.doc_id][0]: r.licenses for r in found} == dict(rows)
+
+
+def test_each_template_is_its_own_best(spark):
+    names = list(L.TEMPLATES)
+    found = L.license_matches(spark.createDataFrame([(k, f"before {L.TEMPLATES[n]} after") for k, n in enumerate(names)], "doc_id long, text string")).collect()
+    assert {names[r.doc_id]: (r.best, r.coverage) for r in found} == {n: (n, 1.0) for n in names}
+    assert {names[r.doc_id] for r in found if r.n_licenses > 1} <= {"Apache-2.0-notice"}
+
+
 def test_lines_are_found(spark):
     noise = "lorem ipsum the of under " * 2000
     rows = [
