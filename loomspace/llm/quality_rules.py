@@ -1,17 +1,17 @@
 """Quality rules by weak supervision.
 
 Each rule reads the measures of a whole text and votes good (1), bad (-1) or abstains (0). Expectation-maximisation over
-the histogram of vote patterns estimates, without labels, how often each rule is right and how common good texts are;
-the posterior probability of a text's votes decides, instead of a conjunction of all rules. A text that fails the base
-rules is rejected in any case.
+the histogram of vote patterns estimates, without labels, how often texts of either class get each of the three votes of
+each rule (Dawid & Skene, 1979) and how common good texts are; the posterior probability of a text's votes decides, instead of a
+conjunction of all rules. So a bad vote of a rule that the others do not bear out rejects nothing, and a text may go without one.
 
+A text that fails the base rules is rejected in any case. The model is fitted on the other texts, whose verdict it is.
 The histogram has at most 3 ** (number of rules) rows, however large the corpus; it alone comes to the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +27,7 @@ WINDOW = 8
 _SPACE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 #: What is measured of each text.
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_letters", "n_digits", "n_marks")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_letters", "n_digits", "n_marks", "n_stutter")
 
 
 def _repeats(words: list[bytes]) -> int:
@@ -68,7 +68,7 @@ def measure(text: str) -> tuple[int, ...]:
     symbols = int(sum(counts[ord(c)] for c in _SYMBOLS))
     spaces = int(sum(counts[ord(c)] for c in _SPACE))
     marks = int(counts[ord("!")] + counts[ord("?")])
-    return (len(words), len(text) - spaces, symbols, dup, _repeats(words), lines, len(set(words)), upper, upper + lower, int(counts[48:58].sum()), marks)
+    return (len(words), len(text) - spaces, symbols, dup, _repeats(words), lines, len(set(words)), upper, upper + lower, int(counts[48:58].sum()), marks, sum(map(bytes.__eq__, words, words[1:])))
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -91,67 +91,85 @@ def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0).cast("tinyint")
 
 
+def _power(column: str, n: int) -> Column:
+    """The n-th power as a product of doubles, the same in every engine."""
+    out = x = F.col(column).cast("double")
+    for _ in range(n - 1):
+        out = out * x
+    return out
+
+
 def rules() -> dict[str, Column]:
-    """The votes. Ratios are products of integers, so that every engine decides them alike."""
+    """The votes. Ratios are products, so that every engine decides them alike. What a text of under 20 words cannot show, it abstains from."""
     c = F.col
     long_enough = c("n_words") >= 20
     return {
-        "symbols": _vote(50 * c("n_symbols") < c("n_words"), 5 * c("n_symbols") > c("n_words")),
-        "symbol_share": _vote(200 * c("n_symbols") < c("word_chars"), 25 * c("n_symbols") > c("word_chars")),
-        "shouting": _vote(4 * c("n_upper") < c("n_letters"), long_enough & (2 * c("n_upper") > c("n_letters"))),
-        "marks": _vote(20 * c("n_marks") < c("n_words"), 4 * c("n_marks") > c("n_words")),
-        "repeats": _vote(long_enough & (20 * c("n_repeat_words") < c("n_words")), 10 * c("n_repeat_words") > 3 * c("n_words")),
-        "lines": _vote((c("n_lines") > 2) & (c("n_dup_lines") == 0), (c("n_lines") > 3) & (10 * c("n_dup_lines") > 3 * c("n_lines"))),
-        "variety": _vote((c("n_words") >= 50) & (3 * c("n_distinct") > c("n_words")), (c("n_words") >= 50) & (c("n_words") <= 2000) & (5 * c("n_distinct") < c("n_words"))),
-        "length": _vote((c("word_chars") >= 2 * c("n_words")) & (c("word_chars") <= 15 * c("n_words")) & long_enough, (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 30 * c("n_words"))),
-        "digits": _vote(20 * c("n_digits") < c("word_chars"), 3 * c("n_digits") > c("word_chars")),
+        "symbols": _vote(100 * c("n_symbols") <= c("n_words"), 10 * c("n_symbols") > c("n_words")),
+        "shouting": _vote(long_enough & (4 * c("n_upper") <= c("n_letters")), long_enough & (2 * c("n_upper") > c("n_letters"))),
+        "marks": _vote(long_enough & (20 * c("n_marks") < c("n_words")), 4 * c("n_marks") > c("n_words")),
+        "repeats": _vote(long_enough & (c("n_repeat_words") == 0), 10 * c("n_repeat_words") > c("n_words")),
+        "lines": _vote((c("n_lines") > 2) & (c("n_dup_lines") == 0), (c("n_lines") > 3) & (5 * c("n_dup_lines") > c("n_lines"))),
+        # distinct words against a power of all words, as vocabularies grow (Heaps): 0.75 and 0.6, at any length
+        "variety": _vote(long_enough & (_power("n_distinct", 4) > _power("n_words", 3)), long_enough & (_power("n_distinct", 5) < _power("n_words", 3))),
+        "length": _vote(long_enough & (2 * c("word_chars") >= 9 * c("n_words")) & (c("word_chars") <= 6 * c("n_words")), (c("word_chars") < 3 * c("n_words")) | (c("word_chars") > 10 * c("n_words"))),
+        "digits": _vote(long_enough & (20 * c("n_digits") < c("word_chars")), 3 * c("n_digits") > c("word_chars")),
+        "letters": _vote(10 * c("n_letters") >= 9 * c("word_chars"), 10 * c("n_letters") < 7 * c("word_chars")),
+        "stutter": _vote(long_enough & (50 * c("n_stutter") <= c("n_words")), long_enough & (10 * c("n_stutter") > c("n_words"))),
     }
 
 
 @dataclass(frozen=True)
 class VoteModel:
-    """What the votes say: for each rule the log-odds of a good text that a good vote and a bad vote add; prior: share of good texts."""
+    """What the votes say: for each rule the log-odds of a good text that a good vote, an abstention and a bad vote add; prior: share of good texts."""
 
-    weights: dict[str, tuple[float, float]]
+    weights: dict[str, tuple[float, float, float]]
     prior: float
 
     def posterior(self) -> Column:
         """Probability that a text is good, given its votes."""
         score = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name, (good, bad) in self.weights.items():
+        for name, (good, none, bad) in self.weights.items():
             vote = F.col(f"vote_{name}")
-            score = score + F.when(vote == 1, good).when(vote == -1, bad).otherwise(0.0)
+            score = score + F.when(vote == 1, good).when(vote == -1, bad).otherwise(none)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
 
 
-def fit_votes(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 60) -> VoteModel:
-    """EM for a mixture of good and bad texts in which each rule has its own rates of good and bad votes in either class.
+#: Where the estimates begin: rates of a good vote, an abstention and a bad vote for bad texts and for good ones, the share of good texts, and
+#: how many texts that belief is worth. It says only that a bad vote is likelier for a bad text.
+START, PRIOR, WORTH = ((0.5, 0.3, 0.2), (0.65, 0.33, 0.02)), 0.85, 2.0
+_VOTES = (1, 0, -1)
 
-    A rule names one kind of defect: its bad vote says much, its good vote only that this one defect is absent. So the
-    rates of both votes are estimated for both classes, with pseudo-counts at the starting values. A bad vote is kept at
-    least 5 times as likely for a bad text, and a good vote 1 to 1.15 times as likely for a good one: bad texts differ
-    in their one defect, and the absence of the others is no excuse. So the classes cannot change places either. The prior
-    stays within 0.6 and 0.98. An abstention says nothing. Without texts the starting values remain.
-    """
-    start = np.array([[0.3, 0.4], [0.7, 0.02]])  # class bad, good; vote good, bad
-    rates, prior = np.repeat(start[:, None, :], len(names), axis=1), 0.85
 
-    def weights() -> np.ndarray:
-        return np.log(rates[1] / rates[0])
+def fit_votes(patterns: list[tuple[tuple[int, ...], int]], names: list[str], tolerance: float = 1e-9, rounds: int = 5000) -> VoteModel:
+    """EM for a mixture of good and bad texts in which each rule has its own rates of good votes, abstentions and bad votes in either class.
 
+    Nothing bounds the rates: a rule that fires alike in both classes comes to weigh nothing, one that fires against the others' verdict
+    weighs against itself. Rounds go on until no posterior moves by more than the tolerance (rounds is a guard; EM converges). Should the classes have changed places, they are
+    put back: the class is called good in which the rules, on average, are right more often than not. Without texts the starting values remain.
+    """
+    start = np.array(START)
+    rates, prior = np.repeat(start[:, None, :], len(names), axis=1), PRIOR
     if patterns:
         votes = np.array([p for p, _ in patterns], int).reshape(len(patterns), len(names))
         n = np.array([k for _, k in patterns], float)
-        cast = np.stack([votes == 1, votes == -1], axis=2).astype(float)
-        pseudo = 20.0
+        cast = np.stack([votes == v for v in _VOTES], axis=2).astype(float)
+        before = None
         for _ in range(rounds):
-            good = 1 / (1 + np.exp(-np.clip(math.log(prior / (1 - prior)) + (cast * weights()).sum((1, 2)), -50, 50)))
+            score = math.log(prior / (1 - prior)) + (cast * np.log(rates[1] / rates[0])).sum((1, 2))
+            good = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
             for y, share in enumerate((1 - good, good)):
-                rates[y] = ((cast * (share * n)[:, None, None]).sum(0) + pseudo * start[y]) / ((share * n).sum() + pseudo)
-            rates[1, :, 1] = np.minimum(rates[1, :, 1], rates[0, :, 1] / 5)
-            rates[0, :, 0] = np.clip(rates[0, :, 0], rates[1, :, 0] / 1.15, rates[1, :, 0])
-            prior = float(np.clip((good * n).sum() / n.sum(), 0.6, 0.98))
-    return VoteModel({k: (float(g), float(b)) for k, (g, b) in zip(names, weights(), strict=True)}, prior)
+                rates[y] = ((cast * (share * n)[:, None, None]).sum(0) + WORTH * start[y]) / ((share * n).sum() + WORTH)
+            prior = float(((good * n).sum() + WORTH * PRIOR) / (n.sum() + WORTH))
+            if before is not None and np.abs(good - before).max() < tolerance:
+                break
+            before = good
+        # mean accuracy of the rules where they vote, under this orientation
+        right = prior * rates[1, :, 0] + (1 - prior) * rates[0, :, 2]
+        wrong = prior * rates[1, :, 2] + (1 - prior) * rates[0, :, 0]
+        if (right / (right + wrong)).mean() < 0.5:
+            rates, prior = rates[::-1], 1 - prior
+    weights = np.log(rates[1] / rates[0])
+    return VoteModel({k: tuple(map(float, w)) for k, w in zip(names, weights, strict=True)}, prior)
 
 
 def _voted(found: DataFrame) -> DataFrame:
@@ -159,16 +177,17 @@ def _voted(found: DataFrame) -> DataFrame:
 
 
 def vote_model(votes: DataFrame) -> VoteModel:
+    """The model of the texts that the base rules pass."""
     names = list(rules())
-    histogram = votes.groupBy(*(f"vote_{k}" for k in names)).count().collect()
-    return fit_votes([(tuple(r[:-1]), r[-1]) for r in histogram], names)
+    histogram = votes.filter(~F.col("base_failed")).groupBy(*(f"vote_{k}" for k in names)).count().collect()
+    return fit_votes(sorted((tuple(r[:-1]), r[-1]) for r in histogram), names)
 
 
 def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Per row of docs: doc_id, the measures, base_failed, the votes, quality (posterior) and kept.
 
-    Null and empty texts have no words and so fail the base rules. Repeated rows count as often as they stand there.
-    An empty table gives no rows. Columns besides doc_id and text are not looked at.
+    Null and empty texts have no words and so fail the base rules. Texts of any length are measured whole, one at a time. Repeated rows
+    count as often as they stand there. Null ids are kept. An empty table gives no rows. Columns besides doc_id and text are not looked at.
     """
     votes = _voted(written(measures(docs), "quality-measures"))
     scored = votes.withColumn("quality", vote_model(votes).posterior())
@@ -176,8 +195,11 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns. Rows are decided where they are read, so equal ids do not matter."""
-    model = vote_model(_voted(written(measures(docs), "quality-measures")))
+    """The rows of docs that quality_rules keeps, with all their columns, whatever these are called.
+
+    Each row is measured once and stored with its measures; the model and the verdicts come from that table. So rows are decided where
+    they are read, and equal ids do not matter. Null, empty and very long texts, repeated rows and an empty table as in quality_rules.
+    """
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,15 +210,6 @@ def quality_filter(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([own, *columns], ["row", *MEASURES])
 
     fields = StructType([StructField("row", schema), *(StructField(m, LongType()) for m in MEASURES)])
-    scored = _voted(bounded(docs).mapInArrow(run, fields)).withColumn("quality", model.posterior())
+    votes = _voted(written(bounded(docs).mapInArrow(run, fields), "quality-rows"))
+    scored = votes.withColumn("quality", vote_model(votes.drop("row")).posterior())
     return scored.filter(~F.col("base_failed") & (F.col("quality") >= threshold)).select("row.*")
-
-
-def brute_repeats(words: list[str]) -> int:
-    """The definition of n_repeat_words, word by word (for tests)."""
-    windows = Counter(tuple(words[k : k + WINDOW]) for k in range(len(words) - WINDOW + 1))
-    hit: set[int] = set()
-    for k in range(len(words) - WINDOW + 1):
-        if windows[tuple(words[k : k + WINDOW])] > 1:
-            hit.update(range(k, k + WINDOW))
-    return len(hit)
