@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh_path, remove, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,15 +33,27 @@ def components(edges: DataFrame) -> DataFrame:
     """(u bigint, v bigint) edges to (node, root), root being the least node that can be reached; nodes without edges are not in it.
 
     Per round every neighbour list is used through its minimum only, so a node with very many edges is pre-aggregated.
-    Rounds grow with the logarithm of the longest chain; each is cut off as a written table.
+    Rounds grow with the logarithm of the longest chain; each is cut off as a written table, which replaces the one before.
     """
-    now = written(_tidy(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "edges")
+    spark = edges.sparkSession
+
+    def stored(df: DataFrame) -> tuple[DataFrame, str]:
+        path = fresh_path(spark, "edges")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    now, path = stored(_tidy(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
     before = _mark(now)
     while before[0]:
-        now = written(_tidy(_small_star(_tidy(_large_star(now)))), "edges")
+        last = path
+        now, path = stored(_tidy(_small_star(_tidy(_large_star(now)))))
+        remove(spark, last)
         after = _mark(now)
         if after == before:
             break
         before = after
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+    roots = stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+    found = written(roots, "components")
+    remove(spark, path)
+    return found

