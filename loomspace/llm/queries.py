@@ -98,7 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-#: Words of `documents` and `benchmark`, windows of ten words joined by a character that no word holds, and the words that their occurrences cover.
+#: Words of `documents` and `benchmark`, windows of ten words joined by a character that no word holds, and the words that their occurrences cover;
+#: and items of which three quarters of the pairs of neighbours stand within three words of where one start asks for them.
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
@@ -116,12 +117,22 @@ WITH d AS (
   SELECT DISTINCT doc_id, item_id, s, dw.k FROM dw JOIN bw USING (k, phrase)
 ), hit AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM m) GROUP BY doc_id
+), np AS (
+  SELECT doc_id, pos, w[pos] AS w1, w[pos + 1] AS w2 FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS pos FROM d WHERE len(w) > 1)
+), ip AS (
+  SELECT item_id, v, greatest(1, ceil((len(w) - 1) * 0.75)) AS need, off, w[off] AS w1, w[off + 1] AS w2
+  FROM (SELECT item_id, w, row_number() OVER () AS v, unnest(range(1, len(w))) AS off FROM b WHERE len(w) > 1)
+), near AS (
+  SELECT doc_id, item_id FROM (SELECT DISTINCT doc_id, item_id, v, need, off, unnest(range(pos - off - 3, pos - off + 4)) AS start FROM np JOIN ip USING (w1, w2))
+  GROUP BY doc_id, item_id, v, need, start HAVING count(*) >= need
+), nr AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM near GROUP BY doc_id
 ), it AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM m GROUP BY doc_id
 )
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+       sha256(coalesce(it.items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near, sha256(coalesce(nr.items, '')) AS near_sha256
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nr USING (doc_id)
 """
 
 #: All 200-byte strings of all documents, those that start twice, and the maximal runs that they cover. Row by row, as repeated rows are documents too.
