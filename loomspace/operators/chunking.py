@@ -22,8 +22,8 @@ def spread(docs: DataFrame) -> DataFrame:
 def chunks(docs: DataFrame, settings: Ingest | None = None) -> DataFrame:
     """(doc_id, source, text) to (source, doc_id, start, text, source_line); a text of no characters has no chunks, the last chunk may be short."""
     s = settings or Ingest()
-    starts = spread(docs.select("source", "doc_id", "text")).select("source", "doc_id", "text", F.explode(T.chunk_starts(F.col("text"), s.stride)).alias("start"))
-    return starts.select("source", "doc_id", "start", F.substring("text", F.col("start") + 1, F.lit(s.chunk_size)).alias("chunk"), T.line_of(F.col("text"), F.col("start")).alias("source_line")).withColumnRenamed("chunk", "text")
+    rows = spread(docs.select("source", "doc_id", "text")).select("source", "doc_id", F.posexplode(T.chunk_rows(F.col("text"), s.chunk_size, s.stride)).alias("k", "c"))
+    return rows.select("source", "doc_id", (F.col("k") * s.stride).alias("start"), F.col("c.chunk").alias("text"), F.col("c.source_line").alias("source_line"))
 
 
 def chunk_offsets(docs: DataFrame, settings: Ingest | None = None) -> DataFrame:
