@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .config import Settings, settings_from
 from .plans import pipeline
-from .sources import files, models
+from .sources import files, models, store
 
 
 def _settings(args: argparse.Namespace) -> Settings:
@@ -26,6 +26,10 @@ def _settings(args: argparse.Namespace) -> Settings:
     return dataclasses.replace(found, output_dir=args.output) if args.output else found
 
 
+def _report(stage: str, seconds: float, rows: int | None) -> None:
+    print(f"{stage}: {seconds:.1f} s" + ("" if rows is None else f", {rows} rows"), flush=True)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="loomspace", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("command", choices=["build", "dry-run", "query"])
@@ -41,12 +45,12 @@ def main(argv: list[str] | None = None) -> None:
         docs = files.read_texts(spark, args.values)
         if args.http:
             embed = models.HttpEmbedder(s.embedding.base_url, s.embedding.model)
-            terms = pipeline.scored_terms(docs, s).select("term").distinct()
-            vectors = models.mapped(terms, "term", embed, "v", "array<double>").persist()
             summarize, name = (models.HttpGenerator(s.enrichment.base_url, m) for m in (s.enrichment.summarize_model, s.enrichment.name_model))
-            pipeline.build(docs, s, vectors, len(vectors.first().v), summarize, name)
+            registry = pipeline.build(docs, s, lambda terms: models.mapped(terms, "term", embed, "v", "array<double>"), None, summarize, name, _report)
         else:
-            pipeline.build(docs, s)
+            registry = pipeline.build(docs, s, report=_report)
+        stored = store.read_shards(spark, f"{s.output_dir}/concepts").agg(F.count("*").alias("concepts"), F.count_distinct("shard_id").alias("shards")).first()
+        print(f"{stored.concepts} concepts in {stored.shards} shards, {len(registry.numbers)} anchors")
     else:
         for question in args.values:
             if args.http:
@@ -54,7 +58,7 @@ def main(argv: list[str] | None = None) -> None:
             else:
                 v = list(spark.range(1).select(models.hashed_embedding(F.lit(question)).alias("v")).first().v)
             found = pipeline.retrieve(spark, s.output_dir, pipeline.query_position(v, s.placement.projection_seed))
-            found.select("distance", "raw_term", "label", F.substring("description", 1, 100).alias("description")).show(truncate=False)
+            pipeline.display(found).show(truncate=False)
             prompt = pipeline.answer_prompt(found, question).first().prompt
             print(models.HttpGenerator(s.enrichment.base_url, s.enrichment.summarize_model)(prompt) if args.http else prompt)
 

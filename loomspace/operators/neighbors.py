@@ -1,13 +1,15 @@
 """Exact nearest neighbours in blocks, and the geometry of each neighbourhood.
 
-Vectors are packed into blocks of about BLOCK rows and pairs of blocks meet by an equi-join, so a task sees two blocks, never a table;
-each pair of blocks keeps the k best per row before anything is shuffled. All pairs are compared: the result is exact, and the work is
+Vectors are packed into blocks of about BLOCK rows and pairs of blocks meet by an equi-join, each pair once, so a task sees two blocks, never a
+table; each pair of blocks keeps the k best per row of either before anything is shuffled. All pairs are compared: the result is exact, and the work is
 quadratic in the number of vectors, which the term caps of a build bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -24,8 +26,9 @@ def _packed(points: DataFrame, block: int) -> tuple[DataFrame, int]:
 
 
 def _met(points: DataFrame, block: int) -> DataFrame:
+    """Pairs of blocks a <= b, each once."""
     packed, n = _packed(points, block)
-    left = packed.select(F.col("b").alias("a"), F.col("points").alias("left"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
+    left = packed.select(F.col("b").alias("a"), F.col("points").alias("left"), F.explode(F.sequence(F.col("b"), F.lit(n - 1))).alias("b"))
     return left.join(packed, "b").select("a", "b", "left", F.col("points").alias("right"))
 
 
@@ -43,20 +46,25 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def knn(points: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     """(id, v) to (id, neighbor, distance, rank): the k nearest others by Euclidean distance, ties by id."""
 
+    def best(ids: np.ndarray, others: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((np.broadcast_to(others, d.shape), d), axis=1)[:, :k]
+        near = np.take_along_axis(d, order, axis=1)
+        found = pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "neighbor": others[order].ravel(), "distance": near.ravel()})
+        return found[np.isfinite(found["distance"])]
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for left, right in zip(part["left"], part["right"], strict=True):
+            for a, b, left, right in zip(part["a"], part["b"], part["left"], part["right"], strict=True):
                 (ids, x), (others, y) = _matrix(left), _matrix(right)
                 d = _distances(x, y)
                 d[ids[:, None] == others[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(others, d.shape), d), axis=1)[:, :k]
-                best = np.take_along_axis(d, order, axis=1)
-                found = pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "neighbor": others[order].ravel(), "distance": best.ravel()})
-                yield found[np.isfinite(found["distance"])]
+                yield best(ids, others, d)
+                if a < b:
+                    yield best(others, ids, np.ascontiguousarray(d.T))
 
-    best = _met(points, block).mapInPandas(run, "id bigint, neighbor bigint, distance double")
+    found = _met(points, block).mapInPandas(run, "id bigint, neighbor bigint, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def distance_summary(points: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -64,9 +72,9 @@ def distance_summary(points: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for left, right in zip(part["left"], part["right"], strict=True):
+            for a, b, left, right in zip(part["a"], part["b"], part["left"], part["right"], strict=True):
                 (ids, x), (others, y) = _matrix(left), _matrix(right)
-                d = _distances(x, y)[ids[:, None] < others[None, :]]
+                d = _distances(x, y)[ids[:, None] < others[None, :] if a == b else ids[:, None] != others[None, :]]
                 if len(d):
                     yield pd.DataFrame({"n": [len(d)], "total": [d.sum()], "low": [d.min()], "high": [d.max()]})
 
@@ -74,41 +82,47 @@ def distance_summary(points: DataFrame, block: int = BLOCK) -> DataFrame:
     return sums.agg(F.sum("n").alias("n_pairs"), (F.sum("total") / F.sum("n")).alias("mean_distance"), F.min("low").alias("least_distance"), F.max("high").alias("largest_distance"))
 
 
-def gromov_delta(d: np.ndarray) -> float:
-    """Largest half difference of the two largest of the three pair sums, over all quadruples; 0 for less than 4 points."""
-    n = len(d)
+@cache
+def _quadruples(n: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), 4))).T
+
+
+def gromov_deltas(d: np.ndarray) -> np.ndarray:
+    """Of each of a stack of distance matrices: the largest half difference of the two largest of the three pair sums, over all quadruples; 0 for less than 4 points."""
+    n = d.shape[1]
     if n < 4:
-        return 0.0
-    i, j, k, m = (np.array(x) for x in zip(*((a, b, c, e) for a in range(n) for b in range(a + 1, n) for c in range(b + 1, n) for e in range(c + 1, n)), strict=True))
-    sums = np.sort(np.stack((d[i, j] + d[k, m], d[i, k] + d[j, m], d[i, m] + d[j, k])), axis=0)
-    return float(((sums[2] - sums[1]) / 2).max())
+        return np.zeros(len(d))
+    i, j, k, m = _quadruples(n)
+    sums = np.sort(np.stack((d[:, i, j] + d[:, k, m], d[:, i, k] + d[:, j, m], d[:, i, m] + d[:, j, k])), axis=0)
+    return ((sums[2] - sums[1]) / 2).max(axis=1)
 
 
-def eigen_signature(d: np.ndarray) -> tuple[str, float, float, float]:
-    """Class, ratio of the second to the first eigenvalue, share of the first, share of clearly negative ones, of the double-centred squared distances."""
-    n = len(d)
+def eigenvalues(d: np.ndarray) -> np.ndarray:
+    """Of each of a stack of distance matrices: the eigenvalues, largest first, of the double-centred squared distances."""
+    n = d.shape[1]
     centre = np.eye(n) - 1.0 / n
     gram = -0.5 * centre @ (d * d) @ centre
-    values = np.linalg.eigvalsh((gram + gram.T) / 2)[::-1]
-    mass = np.abs(values).sum()
-    if mass < 1e-10:
-        return "flat", 0.0, 0.0, 0.0
-    first = values[0] / mass
-    ratio = (values[1] / mass) / (first + 1e-10) if n > 1 else 0.0
-    negative = int((values < -0.05 * abs(values[0])).sum())
-    if ratio > 0.6:
-        kind = "spherical"
-    elif negative <= n // 3 and first > 0.7:
-        kind = "flat"
-    else:
-        kind = "hyperbolic"
-    return kind, float(ratio), float(first), negative / n
+    return np.linalg.eigvalsh((gram + gram.transpose(0, 2, 1)) / 2)[:, ::-1]
+
+
+def signatures(values: np.ndarray) -> pd.DataFrame:
+    """Of each row of eigenvalues: class, eigenvalue_ratio (second to first), first_dominance (share of the first), neg_eigenvalue_fraction (share of clearly negative ones)."""
+    n = values.shape[1]
+    mass = np.abs(values).sum(axis=1)
+    none = mass < 1e-10
+    share = values / np.where(none, 1, mass)[:, None]
+    first = share[:, 0]
+    ratio = share[:, 1] / (first + 1e-10) if n > 1 else np.zeros(len(values))
+    negative = (values < -0.05 * np.abs(values[:, :1])).sum(axis=1)
+    kind = np.select([none, ratio > 0.6, negative > n // 3, first > 0.7], ["flat", "spherical", "hyperbolic", "flat"], "hyperbolic")
+    found = {"eigenvalue_ratio": ratio, "first_dominance": first, "neg_eigenvalue_fraction": negative / n}
+    return pd.DataFrame({"class": kind, **{k: np.where(none, 0.0, v) for k, v in found.items()}})
 
 
 def neighborhood_geometry(points: DataFrame, neighbors: DataFrame) -> DataFrame:
-    """(id, gromov_delta, class, eigenvalue_ratio, first_dominance, neg_eigenvalue_fraction, trace) per point; a neighbourhood is a point and its neighbours.
+    """(id, gromov_delta, class, eigenvalue_ratio, first_dominance, neg_eigenvalue_fraction, trace, eigenvalues) per point; a neighbourhood is a point and its neighbours.
 
-    A group is one neighbourhood, k + 1 vectors at most.
+    A group is one neighbourhood, k + 1 vectors at most; those of a batch that have the same size are computed at once.
     """
     own = points.select("id", F.lit(0).alias("rank"), "v")
     others = neighbors.join(points.select(F.col("id").alias("neighbor"), "v"), "neighbor").select("id", "rank", "v")
@@ -116,11 +130,11 @@ def neighborhood_geometry(points: DataFrame, neighbors: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for i, around in zip(part["id"], part["around"], strict=True):
-                x = np.array([list(r["v"]) for r in around], float)
-                d = _distances(x, x)
-                rows.append((i, gromov_delta(d), *eigen_signature(d), float((d * d).sum() / (2 * len(d)))))
-            yield pd.DataFrame(rows, columns=["id", "gromov_delta", "class", "eigenvalue_ratio", "first_dominance", "neg_eigenvalue_fraction", "trace"])
-
-    return groups.mapInPandas(run, "id bigint, gromov_delta double, class string, eigenvalue_ratio double, first_dominance double, neg_eigenvalue_fraction double, trace double")
+            for n, some in part.groupby(part["around"].map(len)):
+                x = np.array([[r["v"] for r in around] for around in some["around"]], float)
+                d = np.sqrt(((x[:, :, None, :] - x[:, None, :, :]) ** 2).sum(axis=3))
+                values = eigenvalues(d)
+                found = {"id": some["id"].to_numpy(), "gromov_delta": gromov_deltas(d), **signatures(values), "trace": (d * d).sum(axis=(1, 2)) / (2 * n)}
+                yield pd.DataFrame(found).assign(eigenvalues=list(values))
+
+    return groups.mapInPandas(run, "id bigint, gromov_delta double, class string, eigenvalue_ratio double, first_dominance double, neg_eigenvalue_fraction double, trace double, eigenvalues array<double>")

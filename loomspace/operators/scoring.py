@@ -52,18 +52,18 @@ def strengths(scores: DataFrame, normalize: str = "pooled") -> DataFrame:
     """scores with strength: the score over the largest one, of all sources or of its own, within 0 and 1; 0 if that is not positive."""
     if normalize not in ("pooled", "per_source"):
         raise ValueError(f"normalize: {normalize}")
-    largest = scores.groupBy("source").agg(F.max("score").alias("own"))
     if normalize == "pooled":
-        largest = largest.join(largest.agg(F.max("own").alias("largest")), F.lit(True)).select("source", "largest")
-    else:
-        largest = largest.withColumnRenamed("own", "largest")
+        rows = scores.withColumn("largest", scores.agg(F.max("score")).scalar())
+    else:  # the window of top_terms has dealt the rows by source already
+        rows = scores.withColumn("largest", F.max("score").over(Window.partitionBy("source")))
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") / F.col("largest")))
-    return scores.join(largest, "source").withColumn("strength", F.when(F.col("largest") > 0, share).otherwise(F.lit(0.0))).drop("largest")
+    return rows.withColumn("strength", F.when(F.col("largest") > 0, share).otherwise(F.lit(0.0))).drop("largest")
 
 
-def last_wins(rows: DataFrame, key: str, latest_first: list[Column]) -> DataFrame:
-    """One row per key: the latest."""
-    return rows.withColumn("_last", F.row_number().over(Window.partitionBy(key).orderBy(*latest_first))).filter("_last = 1").drop("_last")
+def last_wins(rows: DataFrame, keys: str | list[str], latest_first: list[Column]) -> DataFrame:
+    """One row per key, or per values of several: the latest."""
+    order = Window.partitionBy(*([keys] if isinstance(keys, str) else keys)).orderBy(*latest_first)
+    return rows.withColumn("_last", F.row_number().over(order)).filter("_last = 1").drop("_last")
 
 
 def survival(scored: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:

@@ -80,12 +80,12 @@ def find_anchors(placed: DataFrame, radius: float, registry: Registry | None = N
 
         first = placed.select("ord", "pos").mapInPandas(uncovered, "ord bigint, pos array<double>").orderBy("ord").limit(batch).collect()
         held.unpersist()
-        fresh: list[tuple[float, float, float]] = []
-        for row in first:
-            x = np.array([row.pos])
-            if not fresh or distances(np.array(fresh), x).min() > radius:
-                fresh.append(tuple(row.pos))
+        points = np.array([row.pos for row in first], float).reshape(-1, 3)
+        open_ = np.ones(len(points), bool)  # not covered by an anchor of this batch
+        for k, row in enumerate(first):
+            if open_[k]:
                 registry.add(tuple(row.pos), row.ord)
+                open_[k:] &= distances(points[k : k + 1], points[k:])[:, 0] > radius
         if len(first) < batch:
             return registry
 

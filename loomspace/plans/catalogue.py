@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Placement, Scoring, Settings
@@ -13,6 +12,7 @@ from ..functions import hyperbolic as H
 from ..functions import text as T
 from ..operators import chunking, enrichment, neighbors, placement, scoring, sharding
 from ..sources import models, store
+from ..sources.shared import fresh_path, remove
 from . import pipeline
 from .oracles import ORACLES
 
@@ -152,6 +152,12 @@ def eigen_signature(spark, sf_dir):
     return found.select(F.col("id").alias("vec_id"), F.col("class").alias("geometry"), *(F.round(c, 6).alias(c) for c in ("eigenvalue_ratio", "first_dominance", "neg_eigenvalue_fraction")))
 
 
+def eigen_power_sums(spark, sf_dir):
+    """Sums of the first three powers of each neighbourhood's eigenvalues: the traces of the first three powers of its matrix."""
+    powers = lambda k: F.aggregate(F.transform("eigenvalues", lambda x: F.pow(x, F.lit(k))), F.lit(0.0), lambda a, x: a + x)
+    return _geometry(spark, sf_dir).select(F.col("id").alias("vec_id"), *(F.round(powers(k), 6).alias(f"p{k}") for k in (1, 2, 3)))
+
+
 def mds_trace(spark, sf_dir):
     return _geometry(spark, sf_dir).select(F.col("id").alias("vec_id"), F.round("trace", 6).alias("trace"))
 
@@ -231,11 +237,14 @@ def shard_sizes(spark, sf_dir):
 
 
 def registry_resume(spark, sf_dir):
-    """Anchors after the first and the second half of the concepts went through one after the other; the same as all at once."""
+    """Anchors after the first and the second half of the concepts went through one after the other, the registry stored in between; the same as all at once."""
     rows = _spots(spark, sf_dir).select("ord", "pos")
     half = rows.count() // 2
+    path = fresh_path(spark, "registry")
     first = sharding.find_anchors(rows.filter(F.col("ord") < half), SETTINGS.placement.shard_radius)
-    saved = sharding.Registry(list(first.numbers), list(first.positions), list(first.orders), first.next_id)
+    store.write_registry(spark, first, path, SETTINGS.placement.projection_seed, DIMENSION)
+    saved, _, _ = store.read_registry(spark, path)
+    remove(spark, path)
     return _anchor_rows(sharding.find_anchors(rows.filter(F.col("ord") >= half), SETTINGS.placement.shard_radius, saved), spark).drop("ord")
 
 
@@ -249,20 +258,21 @@ def nearest_shards(spark, sf_dir):
     return found.select("shard_no", "shard_id", F.round("distance", 6).alias("distance"))
 
 
-def _shared(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the session's checkpoint folder, else its warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/concepts-{uuid.uuid4().hex}"
+#: Stores that queries of this session have made, by application and folder of the tables: the first of them stores, the others only read.
+_STORES: dict[tuple[str, str], str] = {}
 
 
 def _stored(spark, sf_dir):
-    path = _shared(spark)
-    registry = _registry(spark, sf_dir)
-    rows = sharding.assign(_spots(spark, sf_dir), registry, SETTINGS.placement.shard_radius)
-    concepts = rows.withColumnRenamed("term", "raw_term").withColumn("label", F.lit("")).withColumn("description", F.concat(F.lit("row "), F.col("id")))
-    store.write_concepts(concepts, f"{path}/concepts")
-    store.write_registry(spark, registry, f"{path}/registry", SETTINGS.placement.projection_seed, DIMENSION)
-    return path
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _STORES:
+        path = fresh_path(spark, "concepts")
+        registry = _registry(spark, sf_dir)
+        rows = sharding.assign(_spots(spark, sf_dir), registry, SETTINGS.placement.shard_radius)
+        concepts = rows.withColumnRenamed("term", "raw_term").withColumn("label", F.lit("")).withColumn("description", F.repeat(F.concat(F.lit("row "), F.col("id")), 20))
+        store.write_concepts(concepts, f"{path}/concepts")
+        store.write_registry(spark, registry, f"{path}/registry", SETTINGS.placement.projection_seed, DIMENSION)
+        _STORES[known] = path
+    return _STORES[known]
 
 
 def shard_roundtrip(spark, sf_dir):
@@ -286,33 +296,65 @@ def retrieve_exact(spark, sf_dir):
     return _found(pipeline.retrieve_exact(spark, _stored(spark, sf_dir), _question(spark, sf_dir), SETTINGS.placement.shard_radius))
 
 
+def retrieve_display(spark, sf_dir):
+    found = pipeline.display(pipeline.retrieve(spark, _stored(spark, sf_dir), _question(spark, sf_dir)))
+    return found.select("raw_term", "description", F.round("distance", 6).alias("distance"))
+
+
 def rag_prompt(spark, sf_dir):
     found = pipeline.retrieve(spark, _stored(spark, sf_dir), _question(spark, sf_dir))
     return pipeline.answer_prompt(found, "What is near?")
 
 
-def _signal(spark, sf_dir):
-    strong = _strengths(spark, sf_dir, "per_source").filter(F.col("strength") > SETTINGS.enrichment.signal_threshold)
-    return enrichment.chunk_signal(_cut(spark, sf_dir), strong.select("source", "term", "strength"))
+def _strong(spark, sf_dir):
+    return _strengths(spark, sf_dir, "per_source").select("source", "term", "strength")
 
 
-def chunk_signal(spark, sf_dir):
-    return _signal(spark, sf_dir).select("source", "doc_id", "start", F.round("signal", 6).alias("signal"))
+def _signalling(strong):
+    return strong.filter(F.col("strength") > SETTINGS.enrichment.signal_threshold)
 
 
-def _best_chunks(spark, sf_dir):
-    terms = scoring.top_terms(_scores(spark, sf_dir), 20).select("source", "term")
-    return enrichment.top_chunks(scoring.chunk_terms(_cut(spark, sf_dir)).join(terms, ["source", "term"]), _signal(spark, sf_dir), SETTINGS.enrichment.max_chunks)
+def chunk_signal(spark, sf_dir):
+    found = enrichment.chunk_signal(_cut(spark, sf_dir), _signalling(_strong(spark, sf_dir)))
+    return found.select("source", "doc_id", "start", F.round("signal", 6).alias("signal"))
 
 
 def top_chunks(spark, sf_dir):
-    return _best_chunks(spark, sf_dir).select("source", "term", "rank", "doc_id", "start", F.round("signal", 6).alias("signal"))
+    strong = _strong(spark, sf_dir)
+    found = enrichment.term_chunks(_cut(spark, sf_dir), _signalling(strong), strong, SETTINGS.scoring.max_n, SETTINGS.enrichment.max_chunks)
+    return found.select("source", "term", "rank", "doc_id", "start", F.round("signal", 6).alias("signal"))
 
 
 def summary_prompt(spark, sf_dir):
-    best = _best_chunks(spark, sf_dir).join(_cut(spark, sf_dir).select("source", "doc_id", "start", "text"), ["source", "doc_id", "start"])
-    context = enrichment.joined(best, ["source", "term"], ["rank"], "text", "\n---\n", "context")
-    return context.select("source", "term", F.md5(enrichment.summary_prompt(F.col("term"), F.col("context"))).alias("prompt_md5"))
+    found = pipeline.summary_prompts(_docs(spark, sf_dir), _strong(spark, sf_dir), SETTINGS)
+    return found.select("source", "term", F.md5("prompt").alias("prompt_md5"))
+
+
+def name_prompts(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", F.md5(enrichment.name_prompt(F.col("text"))).alias("prompt_md5"))
+
+
+def enriched_terms(spark, sf_dir):
+    """Descriptions and names of all kept terms by the offline generator: the first line of the first excerpt, its first three words."""
+    strong = _strong(spark, sf_dir)
+    found = pipeline.enriched(strong.withColumnRenamed("term", "raw_term"), _docs(spark, sf_dir), strong, SETTINGS, models.Extract(), models.Extract())
+    return found.select("source", "raw_term", F.md5("description").alias("description_md5"), "label")
+
+
+def custom_ngrams(spark, sf_dir):
+    """Terms of up to five words instead of three, counted per chunk."""
+    terms = scoring.chunk_terms(_cut(spark, sf_dir), 5)
+    return terms.groupBy("source", "doc_id", "start").agg(F.count("*").alias("n_terms"), F.sum(F.length("term")).alias("n_term_chars"))
+
+
+def source_order(spark, sf_dir):
+    """The order in which kept terms are routed if the list of sources runs from the last name to the first."""
+    docs = _docs(spark, sf_dir)
+    last_first = docs.select("source").distinct().withColumn("source_ord", F.row_number().over(Window.orderBy(F.col("source").desc())) - 1)
+    sources = pipeline.source_numbers(docs.join(last_first, "source"))
+    top = scoring.top_terms(_scores(spark, sf_dir), 100)
+    return pipeline.routing_order(top, sources).select("source", "term", "ord")
 
 
 def validate_names(spark, sf_dir):
@@ -341,7 +383,7 @@ def hashed_embeddings(spark, sf_dir):
 
 def build_and_query(spark, sf_dir):
     """A whole build over `documents` with the offline models, and what is nearest to one of its terms; rows only."""
-    path = _shared(spark)
+    path = fresh_path(spark, "build")
     settings = Settings(output_dir=path)
     pipeline.build(_docs(spark, sf_dir), settings)
     term = store.read_shards(spark, f"{path}/concepts").orderBy(F.round("strength", 9).desc(), "raw_term").select("raw_term").limit(1).select("raw_term", models.hashed_embedding(F.col("raw_term")).alias("v")).first()
@@ -353,9 +395,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         chunks, chunk_counts, tokens, ngrams, term_df, tfidf_scores, top_terms_per_source, top_terms_small, term_chunk_lists, strengths, strengths_per_source, survival_counts, last_wins_dedupe,
-        placed_filter, max_concepts_topk, pair_distances, knn, gromov_delta, eigen_signature, mds_trace, directions, spherical_angle, flat_position, positions, poincare_to_origin, mobius_local,
-        isometry_check, leader_anchors, shard_assignments, shard_sizes, registry_resume, nearest_shards, shard_roundtrip, retrieve_global, retrieve_local_raw, retrieve_exact, rag_prompt,
-        chunk_signal, top_chunks, summary_prompt, validate_names, embedding_join, strength_left_join, hashed_embeddings, build_and_query,
+        placed_filter, max_concepts_topk, pair_distances, knn, gromov_delta, eigen_signature, eigen_power_sums, mds_trace, directions, spherical_angle, flat_position, positions, poincare_to_origin, mobius_local,
+        isometry_check, leader_anchors, shard_assignments, shard_sizes, registry_resume, nearest_shards, shard_roundtrip, retrieve_global, retrieve_local_raw, retrieve_exact, retrieve_display, rag_prompt,
+        chunk_signal, top_chunks, summary_prompt, name_prompts, enriched_terms, custom_ngrams, source_order, validate_names, embedding_join, strength_left_join, hashed_embeddings, build_and_query,
     )
 }
 

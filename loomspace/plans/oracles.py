@@ -134,6 +134,12 @@ sums AS (
 ), delta AS (
   SELECT c, max((greatest(s1, s2, s3) - (s1 + s2 + s3 - greatest(s1, s2, s3) - least(s1, s2, s3))) / 2) AS gromov_delta FROM sums GROUP BY c
 )"""
+#: The double-centred squared distances of each neighbourhood of six points, entry by entry.
+_MATRIX = """
+square AS (SELECT c, a, b, d * d AS s FROM inner_d UNION ALL SELECT DISTINCT c, a, a, 0.0::DOUBLE FROM inner_d),
+centred AS (
+  SELECT c, a, b, -0.5 * (s - avg(s) OVER (PARTITION BY c, a) - avg(s) OVER (PARTITION BY c, b) + avg(s) OVER (PARTITION BY c)) AS g FROM square
+)"""
 _SIGNAL = """
 signals AS (
   SELECT cut.source, cut.doc_id, cut.start, coalesce(sum(s.own_strength), 0.0) AS signal
@@ -142,7 +148,7 @@ signals AS (
 _BEST = """
 best AS (
   SELECT t.source, t.term, t.doc_id, t.start, s.signal, row_number() OVER (PARTITION BY t.source, t.term ORDER BY round(s.signal, 9) DESC, t.doc_id, t.start) AS place
-  FROM terms t JOIN ranked r ON r.source = t.source AND r.term = t.term AND r.rank <= 20 JOIN signals s ON s.source = t.source AND s.doc_id = t.doc_id AND s.start = t.start QUALIFY place <= 5
+  FROM terms t JOIN ranked r ON r.source = t.source AND r.term = t.term AND r.rank <= 100 JOIN signals s ON s.source = t.source AND s.doc_id = t.doc_id AND s.start = t.start QUALIFY place <= 5
 )"""
 _PROMPT = """'You are summarizing a text document.' || chr(10) || 'Write exactly one sentence describing what "' || term || '" refers to in the excerpts below.' || chr(10) ||
 'Use only information explicitly present in the text — do not interpret, infer, or add outside knowledge.' || chr(10) || 'If the excerpts do not clearly describe "' || term ||
@@ -173,6 +179,9 @@ SELECT threshold, count(CASE WHEN strength >= threshold THEN 1 END) AS survivors
     "pair_distances": f"WITH {_PAIRS} SELECT count(*) AS n_pairs, round(sum(d) / count(*), 6) AS mean_distance, round(min(d), 6) AS least_distance, round(max(d), 6) AS largest_distance FROM pairs WHERE i < j",
     "knn": f"WITH {_PAIRS} SELECT i AS vec_id, rank, j AS neighbor_id, round(d, 6) AS distance FROM near5",
     "gromov_delta": f"WITH {_PAIRS}, {_DELTA} SELECT c AS vec_id, round(gromov_delta, 6) AS gromov_delta FROM delta",
+    "eigen_power_sums": f"""WITH {_PAIRS}, {_MATRIX}, one AS (SELECT c, sum(g) AS p FROM centred WHERE a = b GROUP BY c), two AS (SELECT c, sum(g * g) AS p FROM centred GROUP BY c),
+three AS (SELECT x.c, sum(x.g * y.g * z.g) AS p FROM centred x JOIN centred y ON y.c = x.c AND y.a = x.b JOIN centred z ON z.c = x.c AND z.a = y.b AND z.b = x.a GROUP BY x.c)
+SELECT one.c AS vec_id, round(one.p, 6) AS p1, round(two.p, 6) AS p2, round(three.p, 6) AS p3 FROM one JOIN two USING (c) JOIN three USING (c)""",
     "mds_trace": f"WITH {_PAIRS} SELECT c AS vec_id, round(sum(d * d) / 12, 6) AS trace FROM inner_d GROUP BY c",
     "directions": f"WITH {_RAW} SELECT vec_id, round(d0, 6) AS d0, round(d1, 6) AS d1, round(d2, 6) AS d2 FROM dirs",
     "spherical_angle": f"WITH {_RAW} SELECT vec_id, round(atan2(s0, s1), 6) AS theta FROM raw",
@@ -192,14 +201,27 @@ FROM (SELECT *, least(0.95, 1 - 0.9 * strength + CASE WHEN gromov_delta >= 0.15
     "retrieve_global": f"{_nearest(('x', 'y', 'z'), 'shard_id IN (SELECT shard_id FROM near)')} SELECT raw_term, shard_id, round(distance, 6) AS distance FROM found",
     "retrieve_local_raw": f"{_nearest(('q0', 'q1', 'q2'), 'shard_id IN (SELECT shard_id FROM near)')} SELECT raw_term, shard_id, round(distance, 6) AS distance FROM found",
     "retrieve_exact": f"{_nearest(('x', 'y', 'z'), 'true')} SELECT raw_term, shard_id, round(distance, 6) AS distance FROM found",
+    "retrieve_display": f"{_nearest(('x', 'y', 'z'), 'shard_id IN (SELECT shard_id FROM near)')} SELECT raw_term, left(repeat('row ' || vec_id, 20), 100) AS description, round(distance, 6) AS distance FROM found",
     "rag_prompt": f"""{_nearest(('x', 'y', 'z'), 'shard_id IN (SELECT shard_id FROM near)')}
 SELECT 'Answer the following question using only the facts provided below.' || chr(10) || 'Do not use outside knowledge. If the facts do not contain enough information, say so.' || chr(10) || chr(10) || 'FACTS:' || chr(10) ||
-       string_agg('- ' || raw_term || ': row ' || vec_id, chr(10) ORDER BY distance, raw_term) || chr(10) || chr(10) || 'QUESTION: What is near?' || chr(10) || chr(10) || 'ANSWER:' AS prompt FROM found""",
+       string_agg('- ' || raw_term || ': ' || repeat('row ' || vec_id, 20), chr(10) ORDER BY distance, raw_term) || chr(10) || chr(10) || 'QUESTION: What is near?' || chr(10) || chr(10) || 'ANSWER:' AS prompt FROM found""",
     "chunk_signal": f"{_BASE}, {_STRONG}, {_SIGNAL} SELECT source, doc_id, start, round(signal, 6) AS signal FROM signals",
     "top_chunks": f"{_BASE}, {_STRONG}, {_SIGNAL}, {_BEST} SELECT source, term, place AS rank, doc_id, start, round(signal, 6) AS signal FROM best",
     "summary_prompt": f"""{_BASE}, {_STRONG}, {_SIGNAL}, {_BEST}, contexts AS (
   SELECT b.source, b.term, string_agg(c.chunk, chr(10) || '---' || chr(10) ORDER BY b.place) AS context FROM best b JOIN cut c ON c.source = b.source AND c.doc_id = b.doc_id AND c.start = b.start GROUP BY ALL
 ) SELECT source, term, md5({_PROMPT}) AS prompt_md5 FROM contexts""",
+    "name_prompts": """SELECT conv_id, turn, md5('Based on this description, give a short 1-3 word name that captures what this concept is about.' || chr(10) ||
+'Do not use generic words like "time", "one", "first", "number".' || chr(10) || 'Use specific meaningful terms from the description.' || chr(10) || chr(10) || 'Description: ' || text || chr(10) || chr(10) ||
+'Respond with ONLY the name, nothing else. 2-3 words maximum:') AS prompt_md5 FROM conversations""",
+    "enriched_terms": rf"""{_BASE}, {_STRONG}, {_SIGNAL}, {_BEST}, described AS (
+  SELECT b.source, b.term, regexp_replace(split_part(c.chunk, chr(10), 1), '^{_SPACES}|{_SPACES}$', '', 'g') AS description
+  FROM best b JOIN cut c ON c.source = b.source AND c.doc_id = b.doc_id AND c.start = b.start WHERE b.place = 1
+), proposed AS (
+  SELECT *, lower(array_to_string(list_filter(regexp_split_to_array(description, '{_SPACES}'), lambda w: w <> '')[1:3], ' ')) AS name FROM described
+)
+SELECT source, term AS raw_term, md5(description) AS description_md5, CASE WHEN strlen(name) > 40 THEN term ELSE name END AS label FROM proposed""",
+    "custom_ngrams": f"WITH {_CHUNKS}, {_TOKENS}, {_TERMS.replace('[1, 2, 3]', '[1, 2, 3, 4, 5]')} SELECT source, doc_id, start, count(*) AS n_terms, sum(length(term))::BIGINT AS n_term_chars FROM terms GROUP BY ALL",
+    "source_order": f"{_BASE} SELECT source, term, (dense_rank() OVER (ORDER BY source DESC) - 1) * 4294967296 + rank AS ord FROM ranked WHERE rank <= 100",
     "validate_names": rf"""SELECT conv_id, turn, CASE WHEN len(list_filter(regexp_split_to_array(name, '{_SPACES}'), lambda w: w <> '')) > 4 OR strlen(name) > 40 THEN 'term ' || turn ELSE name END AS label
 FROM (SELECT conv_id, turn, lower(regexp_replace(text, '^{_SPACES}|{_SPACES}$', '', 'g')) AS name FROM conversations)""",
     "embedding_join": f"{_BASE} SELECT r.source, e.label, count(*) AS n_terms FROM ranked r JOIN embeddings e ON e.vec_id = r.rank * 5 + 200 WHERE r.rank <= 100 GROUP BY ALL",

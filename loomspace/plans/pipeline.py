@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +14,7 @@ from ..functions import hyperbolic as H
 from ..functions import text as T
 from ..operators import chunking, enrichment, placement, scoring, sharding
 from ..sources import models, store
+from ..sources.shared import scratch, written
 
 
 def scored_terms(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -27,14 +30,28 @@ def dry_run(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     return scoring.survival(scored_terms(docs, settings or Settings()))
 
 
-def placed_terms(terms: DataFrame, embedded: DataFrame, settings: Settings, dimension: int, registry: sharding.Registry | None = None) -> tuple[DataFrame, sharding.Registry]:
-    """terms joined to (term, v), placed and routed. Terms without a vector are left out. The order of routing is that of source, score and term."""
-    ranked = terms.join(embedded, "term").withColumn("id", F.xxhash64("source", "term"))
-    # only the sources are numbered in one place; within a source the rank is known
-    sources = terms.select("source").distinct().withColumn("source_no", F.row_number().over(Window.orderBy("source")))
-    numbered = ranked.join(sources, "source").withColumn("ord", F.col("source_no") * F.lit(1 << 32) + F.col("rank")).drop("source_no")
+def source_numbers(docs: DataFrame) -> DataFrame:
+    """(source, source_no): the place of each source in the routing order. That is source_ord where docs have it, as read_texts gives it, else the order of names."""
+    if "source_ord" in docs.columns:
+        return docs.groupBy("source").agg(F.min("source_ord").cast("bigint").alias("source_no"))
+    # only the sources are numbered in one place, not their rows
+    return docs.select("source").distinct().withColumn("source_no", F.row_number().over(Window.orderBy("source")).cast("bigint"))
+
+
+def routing_order(terms: DataFrame, sources: DataFrame) -> DataFrame:
+    """terms with ord, by source, then score, then term: within a source the rank says it. sources: as source_numbers gives them."""
+    return terms.join(sources, "source").withColumn("ord", F.col("source_no") * F.lit(1 << 32) + F.col("rank")).drop("source_no")
+
+
+def placed_terms(terms: DataFrame, embedded: DataFrame, settings: Settings, dimension: int, registry: sharding.Registry | None = None, sources: DataFrame | None = None) -> tuple[DataFrame, sharding.Registry]:
+    """terms joined to (term, v), placed and routed. Terms without a vector are left out. sources: their order, by name if not given.
+
+    Terms with vectors, and positions, are stored in the shared folder: routing reads positions once per round, and nothing before them is computed again.
+    """
+    numbered = routing_order(terms.join(embedded, "term"), source_numbers(terms) if sources is None else sources)
+    numbered = written(numbered.withColumn("id", F.xxhash64("source", "term")), "placed-terms")
     spots = placement.positions(numbered.select("id", "ord", "strength", "v"), settings.placement, dimension)
-    spots = spots.select("id", "ord", "pos", "gromov_delta", "class", "eigenvalue_ratio", "first_dominance", "neg_eigenvalue_fraction")
+    spots = written(spots.select("id", "ord", "pos", "gromov_delta", "class", "eigenvalue_ratio", "first_dominance", "neg_eigenvalue_fraction"), "positions")
     found = sharding.find_anchors(spots, settings.placement.shard_radius, registry)
     routed = sharding.assign(spots, found, settings.placement.shard_radius)
     return routed.join(numbered.drop("ord", "v"), "id").withColumnRenamed("term", "raw_term").withColumnRenamed("first_line", "source_line"), found
@@ -53,31 +70,55 @@ def summary_prompts(docs: DataFrame, terms: DataFrame, settings: Settings) -> Da
     """(source, term, prompt) from the chunks of most signal."""
     cut = chunking.chunks(docs, settings.ingest)
     kept = terms.select("source", "term", "strength")
-    signal = enrichment.chunk_signal(cut, kept.filter(F.col("strength") > settings.enrichment.signal_threshold))
-    holds = scoring.chunk_terms(cut, settings.scoring.max_n).join(kept.select("source", "term"), ["source", "term"])
-    best = enrichment.top_chunks(holds, signal, settings.enrichment.max_chunks).join(cut.select("source", "doc_id", "start", "text"), ["source", "doc_id", "start"])
-    context = enrichment.joined(best, ["source", "term"], ["rank"], "text", "\n---\n", "context")
+    strong = kept.filter(F.col("strength") > settings.enrichment.signal_threshold)
+    best = enrichment.term_chunks(cut, strong, kept, settings.scoring.max_n, settings.enrichment.max_chunks)
+    context = enrichment.joined(best.join(cut.select("source", "doc_id", "start", "text"), ["source", "doc_id", "start"]), ["source", "term"], ["rank"], "text", "\n---\n", "context")
     return context.select("source", "term", enrichment.summary_prompt(F.col("term"), F.col("context")).alias("prompt"))
 
 
-def build(docs: DataFrame, settings: Settings | None = None, embedded: DataFrame | None = None, dimension: int = 64, summarize=None, name=None) -> sharding.Registry:
-    """Scores, places, enriches and stores; embedded: (term, v), by default the offline hashing embedder; summarize and name default to the extractive one."""
+def build(
+    docs: DataFrame, settings: Settings | None = None, embedded: DataFrame | Callable[[DataFrame], DataFrame] | None = None, dimension: int | None = None,
+    summarize: Callable[[str], str] | None = None, name: Callable[[str], str] | None = None, report: Callable[[str, float, int | None], None] | None = None,
+) -> sharding.Registry:
+    """Scores, places, enriches and stores.
+
+    embedded: (term, v), or what makes it of the distinct terms (term), by default the offline hashing embedder with 64 dimensions; dimension: taken from the
+    vectors if not given. summarize and name default to the extractive stand-in. report hears of each stage when it ends: name, seconds, rows if they are known.
+    Each stage is stored once, in the shared folder, and removed at the end.
+    """
     s = settings or Settings()
     spark = docs.sparkSession
-    terms = scored_terms(docs, s)
-    if embedded is None:
-        embedded = terms.select("term").distinct().select("term", models.hashed_embedding(F.col("term"), dimension).alias("v"))
-    concepts, registry = placed_terms(terms, embedded, s, dimension)
-    full = enriched(concepts, docs, terms, s, summarize or models.Extract(), name or models.Extract())
-    store.write_concepts(full, f"{s.output_dir}/concepts")
-    store.write_registry(spark, registry, f"{s.output_dir}/registry", s.placement.projection_seed, dimension)
+    clock = [time.monotonic()]
+
+    def done(stage: str, rows: DataFrame | None = None) -> None:
+        n = rows.count() if rows is not None and report else None
+        clock.append(time.monotonic())
+        if report:
+            report(stage, clock[-1] - clock[-2], n)
+
+    with scratch(spark):
+        terms = written(scored_terms(docs, s), "scored-terms")
+        done("chunks, terms and scores", terms)
+        if embedded is None:
+            dimension = dimension or 64
+            embedded = lambda rows: rows.select("term", models.hashed_embedding(F.col("term"), dimension).alias("v"))
+        if callable(embedded):
+            embedded = written(embedded(terms.select("term").distinct()), "vectors")
+            done("embeddings", embedded)
+        if dimension is None:
+            first = embedded.select(F.size("v").alias("n")).first()
+            dimension = first.n if first else 64
+        concepts, registry = placed_terms(terms, embedded, s, dimension, sources=source_numbers(docs))
+        done("placement and routing")
+        full = enriched(concepts, docs, terms, s, summarize or models.Extract(), name or models.Extract())
+        store.write_concepts(full, f"{s.output_dir}/concepts")
+        store.write_registry(spark, registry, f"{s.output_dir}/registry", s.placement.projection_seed, dimension)
+        done("enrichment and storage")
     return registry
 
 
 def query_position(v: list[float], seed: int) -> list[float]:
     """Half the unit direction of a query's vector: a query has no strength."""
-    import math
-
     raw = [sum(a * b for a, b in zip(v, w, strict=True)) for w in H.projections(len(v), seed)[:3]]
     norm = math.sqrt(sum(x * x for x in raw))
     unit = [1.0, 0.0, 0.0] if norm < 1e-10 else [x / norm for x in raw]
@@ -94,11 +135,11 @@ def retrieve(spark: SparkSession, path: str, position: list[float], shards: int
     """The nearest concepts among those of the nearest shards: raw_term, label, description, distance.
 
     frame: 'global' compares in one frame, 'local_raw' compares stored local positions with the query's global one, for parity only. Only the
-    partitions of the nearest shards are read.
+    folders of the nearest shards are read. Coordinates of another kind than hyperbolic have no distance here and are left out.
     """
     registry = store.read_registry(spark, f"{path}/registry")[0]
     ids = [r.shard_id for r in nearest_shards(spark, registry, position, shards).collect()]
-    rows = store.read_shards(spark, f"{path}/concepts", ids)
+    rows = store.read_shards(spark, f"{path}/concepts", ids).filter("kind = 'hyperbolic'")
     at = F.array(*(F.lit(float(x)) for x in position))
     where = {"global": F.col("pos"), "local_raw": F.col("local_pos")}[frame]
     return rows.withColumn("distance", H.poincare_distance(where, at)).orderBy("distance", "raw_term").limit(concepts)
@@ -119,6 +160,11 @@ def retrieve_exact(spark: SparkSession, path: str, position: list[float], radius
     return best
 
 
+def display(found: DataFrame) -> DataFrame:
+    """What is shown of retrieved concepts: descriptions are cut to 100 characters, which prompts are not."""
+    return found.select("distance", "raw_term", "label", F.substring("description", 1, 100).alias("description"))
+
+
 def answer_prompt(found: DataFrame, question: str) -> DataFrame:
     """One row `prompt` from retrieved concepts in order of distance; facts use the whole descriptions."""
     line = F.concat(F.lit("- "), F.col("raw_term"), F.lit(": "), F.col("description"))

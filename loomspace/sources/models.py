@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -14,9 +16,22 @@ from pyspark.sql import functions as F
 Transport = Callable[[str, bytes], bytes]
 
 
-def post(url: str, body: bytes) -> bytes:
-    with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"})) as answer:
-        return answer.read()
+#: Seconds that a request may take, and how often one is sent that fails on the way or is refused by a busy server.
+TIMEOUT, TRIES = 120.0, 3
+
+
+def post(url: str, body: bytes, timeout: float = TIMEOUT, tries: int = TRIES) -> bytes:
+    """The answer to a JSON body. Timeouts, broken connections and answers 429 and 5xx are tried again after a pause that doubles; other answers are errors at once."""
+    for left in reversed(range(tries)):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as answer:
+                return answer.read()
+        except OSError as e:
+            passing = not isinstance(e, urllib.error.HTTPError) or e.code == 429 or e.code >= 500
+            if not left or not passing:
+                raise
+            time.sleep(2.0 ** (tries - 1 - left))
+    raise ValueError("tries has to be 1 or more")
 
 
 class HttpEmbedder:

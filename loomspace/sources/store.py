@@ -10,20 +10,33 @@ from pyspark.sql import functions as F
 
 from ..operators.scoring import last_wins
 from ..operators.sharding import Registry
+from .shared import exists
+
+
+#: Rows of one file of a shard: a larger shard has several.
+FILE_ROWS = 1_000_000
 
 
 def write_concepts(concepts: DataFrame, path: str, dedupe: bool = True) -> None:
-    """Concepts by shard, without embeddings; of equal terms in a shard the one of the largest ord stays if dedupe. What was there before is replaced."""
+    """Concepts by shard, without embeddings; of equal terms in a shard the one of the largest ord stays if dedupe. What was there before is replaced.
+
+    Rows are rebalanced by shard: small shards share tasks, and a shard with a large part of all rows is split into several tasks and files.
+    kind names the geometry of the coordinates, hyperbolic unless the rows say otherwise.
+    """
     rows = concepts.drop("v", "embedding")
+    if "kind" not in rows.columns:
+        rows = rows.withColumn("kind", F.lit("hyperbolic"))
     if dedupe:
-        rows = last_wins(rows.withColumn("_key", F.concat_ws("\x1f", "shard_id", "raw_term")), "_key", [F.col("ord").desc()]).drop("_key")
-    rows.repartition("shard_id").write.mode("overwrite").partitionBy("shard_id").parquet(path)
+        rows = last_wins(rows, ["shard_id", "raw_term"], [F.col("ord").desc()])
+    rows.hint("rebalance", "shard_id").write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("shard_id").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, shard_ids: list[str] | None = None) -> DataFrame:
-    """All shards, or those with these ids: literals, so that other partitions are not even listed. Ids that are not there are skipped."""
-    rows = spark.read.option("recursiveFileLookup", "false").parquet(path)
-    return rows if shard_ids is None else rows.filter(F.col("shard_id").isin(shard_ids))
+    """All shards, or those with these ids: only their own folders are listed and read. Ids that are not there are skipped."""
+    if shard_ids is None:
+        return spark.read.parquet(path)
+    there = [at for at in dict.fromkeys(f"{path}/shard_id={i}" for i in shard_ids) if exists(spark, at)]
+    return spark.read.option("basePath", path).parquet(*there) if there else spark.read.parquet(path).filter("false")
 
 
 def write_registry(spark: SparkSession, registry: Registry, path: str, seed: int, dimension: int) -> None:

@@ -1,12 +1,17 @@
+import os
+import random
+import threading
 import tomllib
+from http.server import BaseHTTPRequestHandler, HTTPServer
+from typing import ClassVar
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomspace.config import Ingest, Scoring, Settings
-from loomspace.operators import enrichment, sharding
+from loomspace.operators import chunking, enrichment, placement, scoring, sharding
 from loomspace.plans import pipeline
-from loomspace.sources import files, models, store
+from loomspace.sources import files, models, shared, store
 from loomspace.streaming import ingest
 
 WORDS = "orbital mechanics describes rockets while hyperbolic geometry describes manifolds and market mania describes crowds".split()
@@ -46,6 +51,39 @@ def test_toml_export(spark, built):
     assert "source_line" not in store.shard_toml("shard-1", [{"raw_term": 'a"b', "label": "", "description": None, "strength": 1, "source": "s", "source_line": None, "local_pos": [0, 0, 0], **dict.fromkeys(("gromov_delta", "eigenvalue_ratio", "first_dominance", "neg_eigenvalue_fraction"), 0.0)}])
 
 
+def test_shards_are_split_and_read_alone(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    rows = spark.range(3000).selectExpr("id as ord", "concat('t', id div 2) as raw_term", "if(id < 2900, 'shard-0', concat('shard-', id)) as shard_id", "repeat('x', 50) as text")
+    before, store.FILE_ROWS = store.FILE_ROWS, 500
+    try:
+        store.write_concepts(rows, path)
+    finally:
+        store.FILE_ROWS = before
+    assert len(list((tmp_path / "store" / "shard_id=shard-0").glob("*.parquet"))) >= 3  # 1450 rows are left of 2900
+    some = store.read_shards(spark, path, ["shard-2950", "shard-0", "no such shard", "shard-0"])
+    assert len({f.rsplit("/", 2)[1] for f in some.inputFiles()}) == 2
+    assert {r.shard_id: r["count"] for r in some.groupBy("shard_id").count().collect()} == {"shard-0": 1450, "shard-2950": 1}
+    assert some.filter("ord % 2 = 0 and shard_id = 'shard-0'").count() == 0  # the later of two equal terms stays
+    assert store.read_shards(spark, path, ["none"]).count() == 0 and {r.kind for r in some.select("kind").collect()} == {"hyperbolic"}
+
+
+def test_build_computes_neighbours_once_and_cleans_up(spark, docs, tmp_path, monkeypatch):
+    calls, stages = [], []
+    whole = placement.knn
+    monkeypatch.setattr(placement, "knn", lambda *a: calls.append(1) or whole(*a))
+    folder = shared.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    pipeline.build(docs, Settings(output_dir=f"file://{tmp_path}/out", ingest=Ingest(60, 10), scoring=Scoring(min_occurrences=3)), report=lambda *a: stages.append(a))
+    assert len(calls) == 1 and [s[0] for s in stages] == ["chunks, terms and scores", "embeddings", "placement and routing", "enrichment and storage"]
+    assert stages[0][2] > 0 and set(os.listdir(folder)) == before
+
+
+def test_sources_are_routed_in_the_order_of_their_list(spark):
+    docs = spark.createDataFrame([("b", 0), ("a", 1), ("b", 0)], "source string, source_ord int")
+    assert {r.source: r.source_no for r in pipeline.source_numbers(docs).collect()} == {"b": 0, "a": 1}
+    assert {r.source: r.source_no for r in pipeline.source_numbers(docs.drop("source_ord")).collect()} == {"a": 1, "b": 2}
+
+
 def test_dry_run(spark, docs):
     assert pipeline.dry_run(docs, Settings(scoring=Scoring(min_occurrences=3))).count() == 12
 
@@ -65,7 +103,7 @@ def test_file_source(spark, tmp_path):
     assert [(r.text, r.source_ord, r.doc_id) for r in rows] == [("one\ntwo", 0, 0)]
     with pytest.raises(Exception, match="UTF-8"):
         files.read_texts(spark, [f"file://{tmp_path}/b.txt"]).collect()
-    assert not files.exists(spark, f"file://{tmp_path}/none.txt")
+    assert not shared.exists(spark, f"file://{tmp_path}/none.txt") and shared.exists(spark, f"file://{tmp_path}/a.txt")
 
 
 def test_clients():
@@ -74,6 +112,25 @@ def test_clients():
     assert embed("x") == [0.1, -0.2, 0.3] and sent[0][0] == "http://h/api/embed" and b'"input": "x"' in sent[0][1]
     with pytest.raises(ValueError):
         models.HttpEmbedder.first(b'{"embeddings":[]}')
+    class Server(BaseHTTPRequestHandler):
+        answers: ClassVar[list] = [503, 200, 404]
+
+        def do_POST(self):
+            self.send_response(Server.answers.pop(0))
+            self.end_headers()
+            self.wfile.write(b"{}")
+
+        def log_message(self, *_):
+            pass
+
+    with HTTPServer(("127.0.0.1", 0), Server) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        url = f"http://127.0.0.1:{server.server_port}"
+        assert models.post(url, b"{}", timeout=5, tries=2) == b"{}"
+        with pytest.raises(OSError, match="404"):
+            models.post(url, b"{}", timeout=5)
+        server.shutdown()
+    assert Server.answers == []
     chat = models.HttpGenerator("http://h", "m", lambda url, body: b'{"message":{"role":"assistant","content":"hi"}}' if b'"stream": false' in body else b"")
     assert chat("p") == "hi"
 
@@ -96,3 +153,26 @@ def test_stream_continues_the_registry(spark, tmp_path):
     found = spark.read.parquet(f"{tmp_path}/out/concepts")
     whole = sharding.assign(placed, sharding.find_anchors(placed, 0.9), 0.9)
     assert {(r.ord, r.shard_id) for r in found.collect()} == {(r.ord, r.shard_id) for r in whole.collect()}
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(10, 2), (10, 8), (5, 0), (7, 6), (2000, 200)])
+def test_chunks_against_slices(spark, size, overlap):
+    rnd = random.Random(size)
+    texts = ["".join(rnd.choice("ab é日😀\n\r\x85") for _ in range(n)) for n in (0, 1, 2, size, size + 1, 333, 5000)] + [None]
+    stride = size - overlap
+    wanted = {(k, s, t[s : s + size], 1 + t[:s].count("\n")) for k, t in enumerate(texts) for s in range(0, len(t or ""), stride)}
+    cut = chunking.chunks(spark.createDataFrame([(k, "s", t) for k, t in enumerate(texts)], "doc_id long, source string, text string"), Ingest(size, overlap))
+    assert {(r.doc_id, r.start, r.text, r.source_line) for r in cut.collect()} == wanted
+
+
+def test_term_chunks_is_signal_and_membership(spark, docs):
+    """One pass gives what chunk_signal and the terms of each chunk give apart."""
+    cut = chunking.chunks(docs, Ingest(60, 10))
+    kept = spark.createDataFrame([("s0", "rockets", 0.9), ("s0", "market mania", 0.6), ("s1", "manifolds", 0.4)], "source string, term string, strength double")
+    strong = kept.filter("strength > 0.5")
+    signal = {(r.source, r.doc_id, r.start): r.signal for r in enrichment.chunk_signal(cut, strong).collect()}
+    holds = {}
+    for r in scoring.chunk_terms(cut).join(kept, ["source", "term"]).collect():
+        holds.setdefault((r.source, r.term), []).append((-round(signal[r.source, r.doc_id, r.start], 9), r.doc_id, r.start))
+    wanted = {(*key, k + 1, d, s) for key, rows in holds.items() for k, (_, d, s) in enumerate(sorted(rows)[:5])}
+    assert {(r.source, r.term, r["rank"], r.doc_id, r.start) for r in enrichment.term_chunks(cut, strong, kept).collect()} == wanted != set()

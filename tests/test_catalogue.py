@@ -2,6 +2,7 @@
 
 import glob
 import os
+import sys
 
 import duckdb
 import pytest
@@ -38,3 +39,12 @@ def test_query(spark, duck, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_core_queries_stay_without_the_training_data_operators(monkeypatch):
+    for missing in ("loomspace.llm.queries", "corpus_pipeline", "xxhash"):
+        with monkeypatch.context() as m:
+            m.setitem(sys.modules, missing, None)
+            for name in [n for n in sys.modules if missing == "xxhash" and (n.startswith("loomspace.llm") or n == "corpus_pipeline")]:
+                m.delitem(sys.modules, name)
+            assert set(QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) >= set(QUERIES) & set(ORACLES)

@@ -49,23 +49,30 @@ def test_radius(spark):
     assert at(0.5, 0.15) == pytest.approx(at(0.5, 0.149) + 0.1)
 
 
+def signature(d):
+    return neighbors.signatures(neighbors.eigenvalues(d[None])).iloc[0]
+
+
 def test_signature_classes():
     flat = np.abs(np.subtract.outer(np.arange(6.0), np.arange(6.0)))
-    assert neighbors.eigen_signature(flat)[0] == "flat"
-    assert neighbors.eigen_signature(np.zeros((4, 4))) == ("flat", 0.0, 0.0, 0.0)
+    assert signature(flat)["class"] == "flat"
+    assert signature(np.zeros((4, 4))).tolist() == ["flat", 0.0, 0.0, 0.0]
     square = np.array([[0, 1, math.sqrt(2), 1], [1, 0, 1, math.sqrt(2)], [math.sqrt(2), 1, 0, 1], [1, math.sqrt(2), 1, 0]])
-    assert neighbors.eigen_signature(square)[0] == "spherical"
+    assert signature(square)["class"] == "spherical"
     star = np.full((7, 7), 2.0) - 2 * np.eye(7)
     star[0, 1:] = star[1:, 0] = 0.4  # no Euclidean points have these distances
-    assert neighbors.eigen_signature(star)[3] > 0
+    assert signature(star)["neg_eigenvalue_fraction"] > 0
+    both = neighbors.eigenvalues(np.stack((star, 2 * star)))
+    assert both[1] == pytest.approx(4 * both[0])
 
 
 def test_gromov():
-    assert neighbors.gromov_delta(np.zeros((3, 3))) == 0
+    delta = lambda d: neighbors.gromov_deltas(d[None])[0]
+    assert delta(np.zeros((3, 3))) == 0
     line = np.abs(np.subtract.outer(np.arange(5.0), np.arange(5.0)))
-    assert neighbors.gromov_delta(line) == 0
+    assert delta(line) == 0
     cycle = np.array([[0, 1, 2, 1], [1, 0, 1, 2], [2, 1, 0, 1], [1, 2, 1, 0]], float)
-    assert neighbors.gromov_delta(cycle) == 1
+    assert delta(cycle) == 1
 
 
 def points(spark, rows):
@@ -113,5 +120,8 @@ def test_knn(spark, block):
     found = {(x.id, x["rank"]): x.neighbor for x in neighbors.knn(df, 3, block).collect()}
     d = np.linalg.norm(rows[:, None] - rows[None], axis=2) + np.diag([np.inf] * 40)
     assert all(found[i, k + 1] == int(np.argsort(d[i])[k]) for i in range(40) for k in range(3))
+    summary = neighbors.distance_summary(df, block).first()
+    pairs = d[np.triu_indices(40, 1)]
+    assert summary.n_pairs == len(pairs) and summary.mean_distance == pytest.approx(pairs.mean()) and summary.largest_distance == pytest.approx(pairs.max())
     few = df.filter("id < 2")
     assert neighbors.knn(few, 5, block).count() == 2
