@@ -1,17 +1,18 @@
-"""Plumbing that the training-data operators share: table reads, the shared folder, bounded Arrow batches."""
+"""Plumbing that the training-data operators share: table reads and bounded Arrow batches; the shared folder is that of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_path, remove, scratch, shared_dir, written
+
+__all__ = ["blocks", "bounded", "fresh_path", "id_text", "labelled_sample", "nested", "read_table", "remove", "scratch", "shared_dir", "text_bytes", "text_offsets", "written"]
+
 #: Rows of one Arrow batch. Texts may be very long, so the default of 10,000 rows would not bound memory.
 ARROW_ROWS = 512
 #: Bytes of text that a vectorised step handles at once.
@@ -23,58 +24,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local folder if all of Spark runs on this machine (tests), else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not found:
-        found = context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='loomspace-')}"
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Deletes folders of the shared folder; what is not there is skipped."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-#: Paths that written() made in each scratch() that is open, the innermost last.
-_open: list[list[str]] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession):
-    """Deletes, at its end, the intermediate tables that operators wrote within it. A result has to be stored or collected inside, as it may read them."""
-    _open.append([])
-    try:
-        yield
-    finally:
-        remove(spark, *_open.pop())
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it is computed once and outlives executors. It stays there until the scratch() around the call ends."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    if _open:
-        _open[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded(df: DataFrame) -> DataFrame:
-    """df, after limiting the Arrow batches of this session, so that a worker's memory does not depend on the row count."""
+    """df, after limiting the Arrow batches of this session, so that a worker's memory does not depend on the row count.
+
+    Spark reads that setting when a plan runs, which for a returned DataFrame is after the operator is done, so it cannot be put back here: a
+    session that has used these operators keeps batches of at most ARROW_ROWS rows. It changes no result.
+    """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
@@ -82,7 +37,7 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def id_text(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, null texts as empty: columns of any other name cannot clash later."""
+    """doc_id and text alone, null texts as empty: columns of any other name cannot clash later. Ids are integers; under ANSI rules a text id that is no number is an error."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

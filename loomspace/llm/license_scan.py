@@ -67,7 +67,9 @@ TEMPLATES = {
     ),
     "ISC-text": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
-        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
 }
 
@@ -229,17 +231,27 @@ def spots(words: list[str], name: str) -> list[tuple[int, int]]:
 
 
 def named_coverage(doc: list[str], template: list[str], name: str, threshold: float = 0.8) -> tuple[float, int, int]:
-    """As coverage, of the passages in which the name of the license stands: what is before and after it is aligned with what is before and after it in the template."""
+    """As coverage, of the passages in which the name of the license stands: what is before and after it is aligned with what is before and after it in the template.
+
+    Both sides are aligned by patience, outward from the name. Where that leaves words out or reaches over more than the span, the longest common
+    subsequences of all beginnings of either side decide.
+    """
     m = len(template)
     span = 2 * m + 16
     c, d = spots(template, name)[0]
     best = (0, -1, -1)
     for p, q in spots(doc, name):
-        if q - p > span:
+        if q - p > span or best[0] == m:
             continue
-        left = [0, *common(doc[max(0, q - span) : p][::-1], template[:c][::-1])]
-        right = [0, *common(doc[q : p + span], template[d:])]
+        before, after = doc[max(0, q - span) : p][::-1], doc[q : p + span]
         middle = common(doc[p:q], template[c:d])[-1]
+        left_pairs, right_pairs = patience(before, template[:c][::-1]), patience(after, template[d:])
+        reach = [pairs[-1][0] + 1 if pairs else 0 for pairs in (left_pairs, right_pairs)]
+        if len(left_pairs) == c and len(right_pairs) == m - d and sum(reach) + q - p <= span:
+            if c + middle + m - d > best[0]:
+                best = (c + middle + m - d, p - reach[0], q + reach[1] - 1)
+            continue
+        left, right = [0, *common(before, template[:c][::-1])], [0, *common(after, template[d:])]
         for k, n in enumerate(left):
             j = min(len(right) - 1, span - (q - p) - k)
             if n + middle + right[j] > best[0]:
@@ -252,7 +264,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
 
     A license matches where its coverage reaches the threshold, and its name stands there if names has one (NAMES unless there are other
     templates); best is the name of largest coverage, then of the longest template, then
-    the first by name, or null. Null and empty texts have no words and match nothing. Repeated rows each give a row, null ids are kept, an empty
+    the first by name, or null. Null and empty texts have no words and match nothing. Texts and templates of any length are scanned whole: windows grow with
+    the template, and every place where one could begin is looked at. Repeated rows each give a row, null ids are kept, an empty
     table gives no rows. Only doc_id and text are looked at.
     """
     cut = {name: words_of(text) for name, text in (templates or TEMPLATES).items()}

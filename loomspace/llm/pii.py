@@ -1,7 +1,7 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contextual extraction, in DataFrame operations alone.
 
-Seeds are the spans of the base patterns. Candidates are runs of tokens with a digit or an @, each with the two words before it as
-its lexical pattern. Over the graph of patterns and instances (distinct values) Spark scores in rounds: a pattern is as good
+Seeds are the spans of the base patterns. Candidates are runs of tokens with a digit or an @. Each stands in two lexical patterns: the two words before
+it, and the word on either side of it. Over the graph of patterns and instances (distinct values) Spark scores in rounds: a pattern is as good
 for a kind as the share of its instances that are of that kind, an instance as good as the noisy-or of its patterns
 (after Snowball: Agichtein & Gravano, 2000), until the scores settle. What high-confidence patterns hold and no base pattern covers is added.
 """
@@ -48,6 +48,11 @@ class Bootstrap:
     shortest: int = 5
 
 
+def _in_blocks(z: str) -> str:
+    """SQL: an array in slices of _BLOCK elements; an empty one is one empty slice."""
+    return f"transform(sequence(0, (size({z}) - 1) div {_BLOCK}), k -> slice({z}, cast(k * {_BLOCK} + 1 as int), {_BLOCK}))"
+
+
 def _placed(z: str) -> str:
     """SQL: from an array of (g: characters before, m: match, c: context) to (start, end, m, c). In blocks, so that long arrays are not copied for every element."""
     empty = "cast(array() as array<struct<start:int,end:int,m:string,c:string>>)"
@@ -55,7 +60,7 @@ def _placed(z: str) -> str:
         f"aggregate(b, named_struct('at', 0, 's', {empty}), (a, x) -> named_struct('at', a.at + x.g + length(x.m), 's', "
         "concat(a.s, array(named_struct('start', a.at + x.g, 'end', a.at + x.g + length(x.m), 'm', x.m, 'c', x.c)))))"
     )
-    blocks = f"transform(transform(sequence(0, (size({z}) - 1) div {_BLOCK}), k -> slice({z}, cast(k * {_BLOCK} + 1 as int), {_BLOCK})), b -> {inner})"
+    blocks = f"transform({_in_blocks(z)}, b -> {inner})"
     outer = (
         f"aggregate({blocks}, named_struct('at', 0, 's', cast(array() as array<array<struct<start:int,end:int,m:string,c:string>>>)), (a, b) -> named_struct('at', a.at + b.at, 's', "
         "concat(a.s, array(transform(b.s, y -> named_struct('start', y.start + a.at, 'end', y.end + a.at, 'm', y.m, 'c', y.c))))), a -> flatten(a.s))"
@@ -65,9 +70,12 @@ def _placed(z: str) -> str:
 
 def _matches(pattern: str, context: bool = False) -> str:
     """SQL: the (g, m, c) of a pattern in text."""
-    c = r"array_join(slice(w, -least(2, size(w)), least(2, size(w))), ' ')"
+    # two patterns, kept apart by a line break, which no word holds: the last two words before, and the last before with the first after; an empty one says nothing
     words = r"filter(split(lower(substring(gaps[i], -80)), '\\s+'), v -> v <> '')"
-    left = f"transform(array({words}), w -> case when size(w) = 0 then '' else {c} end)[0]" if context else "cast(null as string)"
+    after = r"get(filter(split(lower(substring(gaps[i + 1], 1, 80)), '\\s+'), v -> v <> ''), 0)"
+    two = "case when size(w) = 0 then '' else array_join(slice(w, -least(2, size(w)), least(2, size(w))), ' ') end"
+    beside = f"coalesce(concat(element_at(w, -1), ' _ ', {after}), '')"
+    left = f"transform(array({words}), w -> concat({two}, '\\n', case when size(w) = 0 then '' else {beside} end))[0]" if context else "cast(null as string)"
     return f"transform(array(split(text, '{pattern}', -1)), gaps -> transform(regexp_extract_all(text, '{pattern}', 0), (m, i) -> named_struct('g', length(gaps[i]), 'm', m, 'c', {left})))[0]"
 
 
@@ -89,11 +97,14 @@ def _candidates(rows: DataFrame, shortest: int) -> DataFrame:
             'start', s.start + length(regexp_extract(s.m, '^[\\p{Punct}&&[^+@]]*+', 0)),
             'value', regexp_replace(s.m, '^[\\p{Punct}&&[^+@]]++|[\\p{Punct}&&[^@]]++$', ''), 'pattern', s.c))"""
     )
-    ranked = (
-        f"transform(filter({trimmed}, s -> length(s.value) >= {shortest}), s -> named_struct('start', s.start, 'end', s.start + length(s.value), 'value', lower(s.value), 'pattern', s.pattern, "
-        "'rank', get(filter(base, b -> b.start < s.start + length(s.value) and b.end > s.start), 0).rank))"
-    )
-    return rows.withColumn("found", F.expr(f"case when z is null or size(z) = 0 then null else {ranked} end")).drop("z")
+    rows = rows.withColumn("t", F.expr(f"case when z is not null and size(z) > 0 then filter({trimmed}, s -> length(s.value) >= {shortest}) end")).drop("z")
+    # both lists are in order, so a block of candidates is held against the blocks of base spans that reach into it, not against all of them
+    rows = rows.withColumn("bb", F.expr(f"case when size(t) > 0 then transform({_in_blocks('base')}, x -> named_struct('low', get(x, 0).start, 'high', array_max(transform(x, b -> b.end)), 'x', x)) end"))
+    touch = "get(filter(near, b -> b.start < s.start + length(s.value) and b.end > s.start), 0).rank"
+    ranked = f"transform(k, s -> named_struct('start', s.start, 'end', s.start + length(s.value), 'value', lower(s.value), 'pattern', s.pattern, 'rank', {touch}))"
+    near = "flatten(transform(filter(bb, q -> q.low < element_at(k, -1).start + length(element_at(k, -1).value) and q.high > get(k, 0).start), q -> q.x))"
+    found = f"case when size(t) > 0 then flatten(transform({_in_blocks('t')}, k -> transform(array({near}), near -> {ranked})[0])) end"
+    return rows.withColumn("found", F.expr(found)).drop("t", "bb")
 
 
 def _learn(seen: DataFrame, p: Bootstrap) -> DataFrame:
@@ -132,14 +143,14 @@ def _learn(seen: DataFrame, p: Bootstrap) -> DataFrame:
 def personal_data(docs: DataFrame, parameters: Bootstrap | None = None) -> DataFrame:
     """Per row of docs: doc_id, h (hash of the text), base and spans, both arrays of (start, rank, end) in order; rank indexes KINDS.
 
-    Offsets are code points, end exclusive. Null and empty texts have no spans; repeated rows each give a row; null ids are kept; an
-    empty table gives no rows. Only doc_id and text are looked at.
+    Offsets are code points, end exclusive. Null and empty texts have no spans; texts of any length are searched whole, in time about in proportion to
+    it; repeated rows each give a row; null ids are kept; an empty table gives no rows. Only doc_id and text are looked at.
     """
     p = parameters or Bootstrap()
     rows = _candidates(_base(id_text(docs)), p.shortest).select("doc_id", F.xxhash64("text").alias("h"), "base", "found")
     held = written(rows, "pii-spans")
     every = held.filter("found is not null").select("doc_id", "h", F.explode("found").alias("f")).select("doc_id", "h", "f.*")
-    new = _learn(every.select("pattern", "value", "rank"), p)
+    new = _learn(every.select(F.explode(F.split("pattern", "\n")).alias("pattern"), "value", "rank"), p)
     added = every.filter("rank is null").drop("rank").join(new, "value").groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "rank", "end")).alias("added"))
     both = held.select("doc_id", "h", "base").alias("b").join(added.alias("a"), F.col("b.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("b.h") == F.col("a.h")), "left")
     return both.select("b.doc_id", "b.h", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added"))).alias("spans"))
@@ -156,12 +167,22 @@ def counted(spans: str, kind: str) -> Column:
 
 
 def redacted(docs: DataFrame, parameters: Bootstrap | None = None) -> DataFrame:
-    """docs with each span of personal_data in `text` replaced by its kind in brackets; of spans that overlap the first counts, and what a later one covers beyond it gets the later kind."""
+    """docs with each span of personal_data in `text` replaced by its kind in brackets; of spans that overlap the first counts, and what a later one covers beyond it gets the later kind.
+
+    Null texts stay null, empty ones and those without spans stay as they are; repeated rows, null ids, an empty table and very long texts as in personal_data. All
+    columns are kept, whatever they are called.
+    """
     spans = personal_data(docs, parameters).filter("size(spans) > 0").select(F.col("doc_id").alias("span_id"), F.col("h").alias("span_h"), "spans").dropDuplicates(["span_id", "span_h"])
     both = nested(docs).join(spans, F.col("row_id").eqNullSafe(F.col("span_id")) & (F.col("row_hash") == F.col("span_h")), "left")
-    apart = "aggregate(spans, cast(array() as array<struct<start:int,rank:int,end:int>>), (a, s) -> case when size(a) = 0 or element_at(a, -1).end <= s.start then concat(a, array(s)) when element_at(a, -1).end < s.end then concat(a, array(named_struct('start', element_at(a, -1).end, 'rank', s.rank, 'end', s.end))) else a end)"
+    # blocks of spans without overlaps; at: where the last one ended. Text is cut block by block, so that a long one is not searched from its beginning for every span
+    span = "array<struct<start:int,rank:int,end:int>>"
+    inner = f"aggregate(b, named_struct('at', a.at, 's', cast(array() as {span})), (c, s) -> case when s.end <= c.at then c else named_struct('at', s.end, 's', concat(c.s, array(named_struct('start', greatest(s.start, c.at), 'rank', s.rank, 'end', s.end)))) end)"
+    apart = f"aggregate({_in_blocks('spans')}, named_struct('at', 0, 's', cast(array() as array<{span}>)), (a, b) -> transform(array({inner}), r -> named_struct('at', r.at, 's', concat(a.s, array(r.s))))[0], a -> filter(a.s, b -> size(b) > 0))"
     kinds = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    pieces = f"array_join(transform(cut, (s, i) -> concat(substring(row_text, coalesce(get(cut, i - 1).end, 0) + 1, s.start - coalesce(get(cut, i - 1).end, 0)), array({kinds})[s.rank])), '')"
+    before = "coalesce(element_at(get(cut, i - 1), -1).end, 0)"
+    inside = f"transform(b, (s, j) -> concat(substring(p.text, coalesce(get(b, j - 1).end, p.at) - p.at + 1, s.start - coalesce(get(b, j - 1).end, p.at)), array({kinds})[s.rank]))"
+    block = f"transform(array(named_struct('at', {before}, 'text', substring(row_text, {before} + 1, element_at(b, -1).end - {before}))), p -> array_join({inside}, ''))[0]"
     both = both.withColumn("cut", F.expr(f"case when spans is not null then {apart} end"))
-    text = F.when(F.col("cut").isNull(), F.col("row")["text"]).otherwise(F.expr(f"concat({pieces}, substring(row_text, element_at(cut, -1).end + 1))"))
+    replaced = f"concat(array_join(transform(cut, (b, i) -> {block}), ''), substring(row_text, element_at(element_at(cut, -1), -1).end + 1))"
+    text = F.when(F.col("cut").isNull(), F.col("row")["text"]).otherwise(F.expr(replaced))
     return both.select(*((text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -106,3 +107,51 @@ def test_odd_rows(odd_docs, empty_docs, odd_rows):
     found = L.license_matches(odd_docs).collect()
     assert len(found) == len(odd_rows) and {r.n_licenses for r in found} == {0}
     assert L.license_matches(empty_docs).count() == 0
+
+
+def test_a_template_of_full_length():
+    rnd = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(700)]
+    t = [rnd.choice(vocabulary) for _ in range(5600)]
+    assert L.coverage(["x"] * 300 + t + ["y"] * 10, t) == (1.0, 300, 5899)
+    worn = [w for k, w in enumerate(t) if k % 10]
+    share, first, last = L.coverage(["x"] * 50 + worn, t)
+    assert share == len(worn) / len(t) and (first, last) == (50, 49 + len(worn))
+
+
+def brute_named(doc, template, name, threshold):
+    """All windows that hold a place of the name, each side of it by all common subsequences."""
+    m, span = len(template), 2 * len(template) + 16
+    c, d = L.spots(template, name)[0]
+    best = 0
+    for p, q in L.spots(doc, name):
+        for a in range(max(0, q - span), p + 1):
+            for b in range(q, min(len(doc), a + span) + 1):
+                parts = ((doc[a:p], template[:c]), (doc[p:q], template[c:d]), (doc[q:b], template[d:]))
+                best = max(best, sum(L.common(x, y)[-1] if x and y else 0 for x, y in parts))
+    return best / m if best / m >= threshold else 0
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.sampled_from("abcnox"), max_size=45), st.lists(st.sampled_from("abc"), max_size=3), st.lists(st.sampled_from("abc"), max_size=3), st.sampled_from([0.5, 0.8]))
+def test_named_coverage_is_the_best_of_any_window(doc, before, after, threshold):
+    template = [*before, "n", "o", *after]
+    share, first, last = L.named_coverage(doc, template, "n (?:x )?o", threshold)
+    assert share == brute_named(doc, template, "n (?:x )?o", threshold)
+    assert not share or last - first < 2 * len(template) + 16
+
+
+def test_matches_against_brute_force(spark):
+    """Whole results over short random documents, names and thresholds included."""
+    rnd = random.Random(11)
+    templates = {"one": "a b c d e", "two": "licensed under the n o license", "three": "b a"}
+    names = {"two": "n o"}
+    texts = ["".join(w + " " for w in rnd.choices("a b c d e licensed under the n o license x".split(), k=rnd.randint(0, 40))) for _ in range(150)]
+    texts += ["licensed under x y the n o license", "a b x c d e a b c d e", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in L.license_matches(docs, templates, 0.8, names).collect():
+        doc = L.words_of(texts[r.doc_id] or "")
+        shares = {k: brute_named(doc, t.split(), names[k], 0.8) if k in names else brute_coverage(doc, t.split(), 0.8) for k, t in templates.items()}
+        found = {k: v for k, v in shares.items() if v}
+        best = min(found, key=lambda k: (-found[k], -len(templates[k].split()), k), default=None)
+        assert (r.licenses, r.n_licenses, r.best, r.coverage) == (",".join(sorted(found)), len(found), best, found.get(best, 0.0)), texts[r.doc_id]

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -63,6 +64,27 @@ def test_found_identifiers_support_other_contexts(spark):
     assert sum(b == "" for b, _ in got.values()) == len(rows) - 56
 
 
+def test_the_words_on_either_side_are_a_pattern(spark):
+    rows = [f"word{k} call user{k}@mail{k}.example.org today or never" for k in range(16)] + [f"other{k} call nick{k}(at)host{k}.example today please" for k in range(3)]
+    rows += ["nobody call x9y9z9 tomorrow"]
+    got = {int(i): s for i, _, s in found(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))}
+    assert all(got[k].startswith("email:") for k in range(19)) and got[19] == ""
+
+
+def test_very_many_spans_in_one_text(spark):
+    """Time in proportion to the spans, and the same result as from texts of one span each."""
+    took = []
+    for n in (2000, 8000):
+        docs = spark.createDataFrame([(1, "é seen " + " then ".join(f"10.{k % 256}.{k // 256}.7" for k in range(n)))], "doc_id long, text string")
+        P.redacted(docs).collect()
+        began = time.monotonic()
+        spans = found(docs)[0][2]
+        text = P.redacted(docs).first().text
+        took.append(time.monotonic() - began)
+        assert spans.count("ip:") == n and text == "é seen " + " then ".join(["[IP]"] * n)
+    assert took[1] < 8 * took[0]
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.example now", 3), (2, "none", None), (3, None, 1), (4, "10.0.0.1 and +1 (743) 555-3824", 1), (1, "other text", 1), (5, "x@1.2.3.4", 0), (5, "x@1.2.3.4", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
