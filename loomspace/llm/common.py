@@ -70,8 +70,8 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, rows: int, most_bytes: int, seed: str) -> list[tuple[str, int]]:
-    """At most `rows` texts of either label for which train (a condition on doc_id) holds, the first by a hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, rows: int, most_bytes: int, seed: str) -> DataFrame:
+    """(text, y) in a fixed order: at most `rows` texts of either label for which train (a condition on doc_id) holds, the first by a hash of doc_id.
 
     The bound is a parameter of the fit, as is most_bytes: longer texts are not used for fitting. Rows with a null
     doc_id, text or label are not used either.
@@ -81,5 +81,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, rows:
     order = F.xxhash64("doc_id", F.lit(seed))
     picked = marked.filter("y = 1").orderBy(order, "doc_id").limit(rows).union(marked.filter("y = 0").orderBy(order, "doc_id").limit(rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.octet_length("text") <= most_bytes)
-    found = texts.join(F.broadcast(picked), "doc_id").orderBy(order, "doc_id", "text").limit(2 * rows).select("text", "y").collect()
-    return [(r.text, r.y) for r in found]
+    return texts.join(F.broadcast(picked), "doc_id").orderBy(order, "doc_id", "text").limit(2 * rows).select("text", "y")

@@ -158,7 +158,7 @@ def proximity_matches(index: DataFrame, items: DataFrame, slack: int = SLACK, sh
     A match has need of an item's pairs, so of its `pairs - need + 2` rarest it has two at least (all of them if they are fewer), whose shifted positions
     lie within 2 * slack of one another. Windows of starts without two such pairs are out; in the others all pairs are counted.
     """
-    postings = index.filter("pair is not null").select(*_DOC, "pair", "pos").distinct()
+    postings = index.filter("pair is not null").select(*_DOC, "pair", "pos")  # repeated rows repeat them, which counts of distinct places do not see
     counted = postings.groupBy("pair").count()
     held = items.filter("next is not null").select("item", "version", "m", "off", F.xxhash64("word", "next").alias("pair"))
     need = F.greatest(F.lit(1), F.ceil((F.col("m") - 1) * share)).cast("int")

@@ -191,10 +191,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train, sample: int = 2500
     """Per row of docs: doc_id, score, predicted.
 
     train: condition on doc_id, true for rows whose labels may be learnt. sample, most_bytes: bounds of what is fitted on the driver
-    (rows of either label, bytes of a text); every text is scored whole. Null and empty texts are scored as padding alone. Repeated rows
+    (rows of either label, bytes of a text); a text of any length is scored whole, piece by piece. Null and empty texts are scored as padding alone. Repeated rows
     each give a row; an empty table gives none; without labels of both kinds the score is a constant. Only doc_id and text of docs are looked at.
     """
-    held = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "quality", train, sample, most_bytes, "quality")))
+    rows = labelled_sample(docs, labels, "quality", train, sample, most_bytes, "quality").collect()
+    held = docs.sparkSession.sparkContext.broadcast(fit([(r.text, r.y) for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):

@@ -167,7 +167,7 @@ def simhash_components(docs: DataFrame, small: int = SMALL) -> DataFrame:
 
     Texts without words (null, empty, white space) have fingerprint zero and link like others. Rows with a null doc_id
     belong to their component but never name it, unless it has no other rows: then component_id is null. Repeated rows
-    each give a row. An empty table gives no rows. Columns besides doc_id and text are not looked at.
+    each give a row. Texts of any length are hashed whole, in bounded memory beyond the text itself. An empty table gives no rows. Columns besides doc_id and text are not looked at.
     """
     found = written(fingerprints(docs), "fingerprints")
     named = _roots(found, small)
@@ -183,7 +183,7 @@ def _roots(found: DataFrame, small: int) -> DataFrame:
 
 
 def simhash_filter(docs: DataFrame, small: int = SMALL) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id (null last, then the least hash of the text), all columns kept."""
+    """docs with one row of each component: that of the least doc_id (null last, then the least hash of the text), all columns kept, whatever they are called. Other cases as in simhash_components."""
     found = written(fingerprints(docs), "fingerprints")
     named = _roots(found, small)
     # the least row of a fingerprint first, so that a group with very many rows is aggregated before it is joined

@@ -318,7 +318,7 @@ def remove_repeats(docs: DataFrame, many: int = MANY) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (bytes) without the bytes that repeated 200-byte strings cover.
 
     Texts are UTF-8; null counts as empty; texts under 200 bytes stay whole. Repeated rows are documents of their own, so from 200 bytes
-    on they vanish. Rows of one id with different texts, and null ids, are kept apart by a hash of the text. An
+    on they vanish. Texts of any length are looked at whole, in overlapping pieces. Rows of one id with different texts, and null ids, are kept apart by a hash of the text. An
     empty table gives no rows. Only doc_id and text are looked at.
     """
     rows = id_text(docs).withColumn("h", F.xxhash64("text"))

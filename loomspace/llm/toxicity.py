@@ -72,15 +72,13 @@ class ToxicModel:
         return out
 
 
-def fit(rows: list[tuple[str, int]], bits: int = BITS, p: Ftrl | None = None) -> ToxicModel:
-    """FTRL-proximal over (text, label) rows in a fixed shuffled order; without rows of both labels the score is the share of label 1."""
+def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, p: Ftrl | None = None) -> ToxicModel:
+    """FTRL-proximal over (features, label) rows in a fixed shuffled order; without rows of both labels the score is the share of label 1."""
     p = p or Ftrl()
-    hasher = Hasher(bits)
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     share = (sum(y for _, y in rows) + 0.5) / (len(rows) + 1)
     bias = bias_n = 0.0
     bias = float(np.log(share / (1 - share)))
-    found = [(hasher.features(t), y) for t, y in rows]
 
     def weights(at: np.ndarray) -> np.ndarray:
         zz = z[at]
@@ -89,8 +87,8 @@ def fit(rows: list[tuple[str, int]], bits: int = BITS, p: Ftrl | None = None) ->
     if 0 < sum(y for _, y in rows) < len(rows):
         order = np.random.default_rng(5)
         for _ in range(p.passes):
-            for k in order.permutation(len(found)).tolist():
-                at, y = found[k]
+            for k in order.permutation(len(rows)).tolist():
+                at, y = rows[k]
                 w = weights(at)
                 g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - y
                 sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / p.alpha
@@ -102,14 +100,26 @@ def fit(rows: list[tuple[str, int]], bits: int = BITS, p: Ftrl | None = None) ->
     return ToxicModel(bits, at, weights(at), bias)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train, sample: int = 5000, most_bytes: int = 20_000, threshold: float = 0.7) -> DataFrame:
+def hashed_rows(texts: DataFrame, bits: int = BITS) -> list[tuple[np.ndarray, int]]:
+    """(features, label) of a bounded table (text, y), in its order; texts are hashed where they are read, and none comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(bits)
+        for part in batches:
+            found = [hasher.features(t).tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), part.column("y")], ["features", "y"])
+
+    return [(np.frombuffer(r.features, np.int32), r.y) for r in bounded(texts).mapInArrow(run, "features binary, y int").collect()]
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, train, sample: int = 2000, most_bytes: int = 20_000, threshold: float = 0.7) -> DataFrame:
     """Per row of docs: doc_id, score, predicted.
 
     train: condition on doc_id, true for rows whose labels may be learnt. sample, most_bytes: bounds of what is fitted on the driver
-    (rows of either label, bytes of a text). Null and empty texts have no features, so they score the bias. Repeated rows each give a row; an empty table gives
-    none, empty labels a score of 0.5. Only doc_id and text of docs are looked at.
+    (rows of either label, bytes of a text). Null and empty texts have no features, so they score the bias; a text of any length is scored whole. Repeated rows
+    each give a row; an empty table gives none, empty labels a score of 0.5. Only doc_id and text of docs are looked at.
     """
-    model = fit(labelled_sample(docs, labels, "toxic", train, sample, most_bytes, "toxic"))
+    model = fit(hashed_rows(labelled_sample(docs, labels, "toxic", train, sample, most_bytes, "toxic")))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -44,10 +47,12 @@ def test_held_out_accuracy(tables):
 
 def test_sample_holds_training_rows_only(tables):
     docs, labels, rows = tables
-    some = labelled_sample(docs, labels, "quality", F.col("doc_id") % 3 != 0, 50, 10_000, "s")
+    some = [tuple(r) for r in labelled_sample(docs, labels, "quality", F.col("doc_id") % 3 != 0, 50, 10_000, "s").collect()]
     allowed = {r[1] for r in rows if r[0] % 3}
     assert len(some) == 100 and {y for _, y in some} == {0, 1} and all(t in allowed for t, _ in some)
-    assert some == labelled_sample(docs.repartition(7), labels, "quality", F.col("doc_id") % 3 != 0, 50, 10_000, "s")
+    again = labelled_sample(docs.repartition(7), labels, "quality", F.col("doc_id") % 3 != 0, 50, 10_000, "s")
+    assert some == [tuple(r) for r in again.collect()]
+    assert [(a.tolist(), y) for a, y in T.hashed_rows(again)] == [(T.Hasher().features(t).tolist(), y) for t, y in some]
 
 
 def test_convolution_against_loops():
@@ -105,5 +110,56 @@ def test_odd_rows(odd_docs, empty_docs, odd_rows, labels):
 
 
 def test_weights_are_sparse():
-    model = T.fit([(t, y) for _, t, _, y in corpus(400, 1)])
+    hasher = T.Hasher()
+    model = T.fit([(hasher.features(t), y) for _, t, _, y in corpus(400, 1)])
     assert 0 < len(model.at) < 2000 and len(model.at) == np.count_nonzero(model.dense())
+
+
+def brute_features(text, bits):
+    """Hashed words, neighbours, and pairs with one word between, one by one in whole numbers."""
+    ws, out = re.findall(r"[^\W_]+", text.lower()), set()
+    h = [zlib.crc32(w.encode()) + 1 for w in ws]
+    low = (1 << 64) - 1
+    for k, x in enumerate(h):
+        found = [x]
+        if k + 1 < len(h):
+            found.append(((x * 0x100000001B3) & low) ^ h[k + 1] ^ (1 << 40))
+        if k + 2 < len(h):
+            found.append(((x * 0x1000193) & low) ^ h[k + 2] ^ (1 << 41))
+        out |= {((v * 0x9E3779B97F4A7C15) & low) >> (64 - bits) for v in found}
+    return sorted(out)
+
+
+def brute_ftrl(rows, p):
+    """The published per-coordinate algorithm, coordinate by coordinate, with the bias as it is learnt here."""
+    z, n = {}, {}
+    share = (sum(y for _, y in rows) + 0.5) / (len(rows) + 1)
+    bias, bias_n = math.log(share / (1 - share)), 0.0
+
+    def weight(i):
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= p.l1 else -(v - math.copysign(p.l1, v)) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(p.passes):
+        for k in order.permutation(len(rows)).tolist():
+            at, y = rows[k]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-(bias + sum(w.values())))) - y
+            for i in at:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / p.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            bias_n += g * g
+            bias -= 0.1 * g / (1 + math.sqrt(bias_n))
+    return {i: weight(i) for i in z if weight(i)}, bias
+
+
+@pytest.mark.parametrize("p", [T.Ftrl(), T.Ftrl(alpha=0.3, beta=0.5, l1=1.0, l2=0.2, passes=3)])
+def test_ftrl_against_brute_force(p):
+    hasher, texts = T.Hasher(14), [(t, y) for _, t, _, y in corpus(120, 9)]
+    rows = [(hasher.features(t), y) for t, y in texts]
+    assert [a.tolist() for a, _ in rows] == [brute_features(t, 14) for t, _ in texts]
+    model = T.fit(rows, 14, p)
+    wanted, bias = brute_ftrl([(a.tolist(), y) for a, y in rows], p)
+    assert dict(zip(model.at.tolist(), model.weight.tolist(), strict=True)) == pytest.approx(wanted, abs=1e-9) and model.bias == pytest.approx(bias)
