@@ -221,7 +221,8 @@ SELECT 'Answer the following question using only the facts provided below.' || c
 )
 SELECT source, term AS raw_term, md5(description) AS description_md5, CASE WHEN strlen(name) > 40 THEN term ELSE name END AS label FROM proposed""",
     "custom_ngrams": f"WITH {_CHUNKS}, {_TOKENS}, {_TERMS.replace('[1, 2, 3]', '[1, 2, 3, 4, 5]')} SELECT source, doc_id, start, count(*) AS n_terms, sum(length(term))::BIGINT AS n_term_chars FROM terms GROUP BY ALL",
-    "source_order": f"{_BASE} SELECT source, term, (dense_rank() OVER (ORDER BY source DESC) - 1) * 4294967296 + rank AS ord FROM ranked WHERE rank <= 100",
+    "source_order": f"""{_BASE}, places AS (SELECT source, row_number() OVER (ORDER BY source DESC) - 1 AS place FROM (SELECT DISTINCT source FROM documents))
+SELECT source, term, place * 4294967296 + rank AS ord FROM ranked JOIN places USING (source) WHERE rank <= 100""",
     "validate_names": rf"""SELECT conv_id, turn, CASE WHEN len(list_filter(regexp_split_to_array(name, '{_SPACES}'), lambda w: w <> '')) > 4 OR strlen(name) > 40 THEN 'term ' || turn ELSE name END AS label
 FROM (SELECT conv_id, turn, lower(regexp_replace(text, '^{_SPACES}|{_SPACES}$', '', 'g')) AS name FROM conversations)""",
     "embedding_join": f"{_BASE} SELECT r.source, e.label, count(*) AS n_terms FROM ranked r JOIN embeddings e ON e.vec_id = r.rank * 5 + 200 WHERE r.rank <= 100 GROUP BY ALL",
