@@ -1,8 +1,9 @@
 """Exact nearest neighbours in blocks, and the geometry of each neighbourhood.
 
 Vectors are packed into blocks of about BLOCK rows and pairs of blocks meet by an equi-join, each pair once, so a task sees two blocks, never a
-table; each pair of blocks keeps the k best per row of either before anything is shuffled. All pairs are compared: the result is exact, and the work is
-quadratic in the number of vectors, which the term caps of a build bound.
+table; each pair of blocks keeps the k best per row of either before anything is shuffled. All pairs are compared, by one matrix product per pair of
+blocks; distances are then taken from the differences themselves, of all pairs that rounding could have put on the wrong side. The result is exact, and
+the work is quadratic in the number of vectors, which the term caps of a build bound.
 """
 
 from __future__ import annotations
@@ -43,24 +44,44 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by a matrix product, and a bound of how far rounding may have moved them. Norms that overflow go without the product."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        p, q = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        if not np.isfinite(p).all() or not np.isfinite(q).all():
+            return _distances(x, y), 0.0
+        slack = 8 * (x.shape[1] + 8) * np.finfo(float).eps * float(p.max() + q.max())
+        return p[:, None] + q[None, :] - 2 * (x @ y.T), slack
+
+
+def _best(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, squares: np.ndarray, slack: float, k: int) -> pd.DataFrame:
+    """The k nearest others of each id, ties by id: all pairs within twice the slack of the k-th are measured again."""
+    nth = min(k, len(others)) - 1
+    limit = np.partition(squares, nth, axis=1)[:, nth] + 2 * slack
+    i, j = np.nonzero((squares <= limit[:, None]) & np.isfinite(squares))
+    d = np.empty(len(i))
+    for at in range(0, len(i), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        d[part] = np.sqrt(((x[i[part]] - y[j[part]]) ** 2).sum(axis=1))
+    order = np.lexsort((others[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    found = pd.DataFrame({"id": ids[i[first]], "neighbor": others[j[first]], "distance": d[first]})
+    return found[np.isfinite(found["distance"])]
+
+
 def knn(points: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     """(id, v) to (id, neighbor, distance, rank): the k nearest others by Euclidean distance, ties by id."""
 
-    def best(ids: np.ndarray, others: np.ndarray, d: np.ndarray) -> pd.DataFrame:
-        order = np.lexsort((np.broadcast_to(others, d.shape), d), axis=1)[:, :k]
-        near = np.take_along_axis(d, order, axis=1)
-        found = pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "neighbor": others[order].ravel(), "distance": near.ravel()})
-        return found[np.isfinite(found["distance"])]
-
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for a, b, left, right in zip(part["a"], part["b"], part["left"], part["right"], strict=True):
                 (ids, x), (others, y) = _matrix(left), _matrix(right)
-                d = _distances(x, y)
-                d[ids[:, None] == others[None, :]] = np.inf
-                yield best(ids, others, d)
+                squares, slack = _squares(x, y)
+                squares[(ids[:, None] == others[None, :]) | np.isnan(squares)] = np.inf
+                yield _best(ids, x, others, y, squares, slack, k)
                 if a < b:
-                    yield best(others, ids, np.ascontiguousarray(d.T))
+                    yield _best(others, y, ids, x, squares.T, slack, k)
 
     found = _met(points, block).mapInPandas(run, "id bigint, neighbor bigint, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor"))

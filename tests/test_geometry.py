@@ -125,3 +125,22 @@ def test_knn(spark, block):
     assert summary.n_pairs == len(pairs) and summary.mean_distance == pytest.approx(pairs.mean()) and summary.largest_distance == pytest.approx(pairs.max())
     few = df.filter("id < 2")
     assert neighbors.knn(few, 5, block).count() == 2
+
+
+def test_knn_measures_again_what_rounding_leaves_open(spark):
+    rng = np.random.default_rng(5)
+    x = 1e7 + np.round(rng.normal(size=(90, 6)), 2)
+    x[40:50] = x[39]
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    wanted = {i: sorted((d[i, j], j) for j in range(90) if j != i)[:4] for i in range(90)}
+    for block in (16, 1024):
+        found = {}
+        for r in neighbors.knn(df, 4, block).collect():
+            found.setdefault(r.id, []).append((r["rank"], r.distance, r.neighbor))
+        assert {i: [(dist, j) for _, dist, j in sorted(v)] for i, v in found.items()} == wanted
+
+
+def test_knn_of_values_without_finite_norms(spark):
+    df = spark.createDataFrame([(1, [1e200, 0.0]), (2, [1e200, 1.0]), (3, [0.0, 0.0]), (4, [0.0, 2.0]), (5, [float("nan"), 1.0])], "id long, v array<double>")
+    assert {(r.id, r.neighbor, r.distance) for r in neighbors.knn(df, 2, 8).collect()} == {(1, 2, 1.0), (2, 1, 1.0), (3, 4, 2.0), (4, 3, 2.0)}
