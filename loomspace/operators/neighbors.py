@@ -1,40 +1,77 @@
 """Exact nearest neighbours in blocks, and the geometry of each neighbourhood.
 
-Vectors are packed into blocks of about BLOCK rows and pairs of blocks meet by an equi-join, each pair once, so a task sees two blocks, never a
-table; each pair of blocks keeps the k best per row of either before anything is shuffled. All pairs are compared, by one matrix product per pair of
-blocks; distances are then taken from the differences themselves, of all pairs that rounding could have put on the wrong side. The result is exact, and
-the work is quadratic in the number of vectors, which the term caps of a build bound.
+Vectors are packed into SPREAD blocks, or more where blocks would pass LARGEST rows, and pairs of blocks meet, each pair once, as a group of its own, so a task sees two blocks, never a
+table, and vectors are dealt out as often as there are blocks: in proportion to their number up to SPREAD * LARGEST of them. Each pair of blocks keeps the k best per row of either before
+anything is shuffled. All pairs are compared, by matrix products of a slice of one block with the other; distances are then taken from the differences themselves, of all
+pairs that rounding could have put on the wrong side. The result is exact, and the work is quadratic in the number of vectors, which the term caps of a build bound.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-BLOCK = 1024
+from ..sources.shared import written
 
+#: Blocks of a table, and the least and the most rows of one.
+SPREAD, LEAST, LARGEST = 16, 1024, 32_768
+#: Pairs that a matrix product compares at once: they stay in a core's cache.
+SLICE = 1 << 19
+#: Pairs that are measured again at once, where many vectors are equal.
+OPEN = 1 << 20
 
-def _packed(points: DataFrame, block: int) -> tuple[DataFrame, int]:
-    n = max(1, -(-points.count() // block))
-    rows = points.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"), F.struct("id", "v").alias("p"))
-    return rows.groupBy("b").agg(F.collect_list("p").alias("points")), n
 
+def _packed(points: DataFrame, block: int | None) -> tuple[DataFrame, int]:
+    """(b, ids, v, n): the ids and vectors of each block as bytes, stored, as each block meets all others."""
+    count = points.count()
+    n = max(1, -(-count // (block or min(LARGEST, max(LEAST, -(-count // SPREAD))))))
 
-def _met(points: DataFrame, block: int) -> DataFrame:
-    """Pairs of blocks a <= b, each once."""
+    def pack(table: pa.Table) -> pa.Table:
+        ids, v = table.column("id").combine_chunks(), table.column("v").combine_chunks()
+        if len(pc.unique(pc.list_value_length(v))) > 1 or v.flatten().null_count or ids.null_count:
+            raise ValueError("ids and vectors must not be null, and all vectors need one length")
+        packed = [np.asarray(ids, np.int64).tobytes()], [np.asarray(v.flatten(), np.float64).tobytes()]
+        return pa.table({"b": table.column("b").slice(0, 1), "ids": pa.array(packed[0], pa.binary()), "v": pa.array(packed[1], pa.binary()), "n": pa.array([len(ids)], pa.int32())})
+
+    rows = points.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"), F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    # as many partitions as asked for: these rows are small beside the work on them
+    return written(rows.repartition(n, "b").groupBy("b").applyInArrow(pack, "b int, ids binary, v binary, n int"), "blocks"), n
+
+
+def _met(points: DataFrame, block: int | None, run: Callable[[bool, tuple, tuple], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """What run(same, left, right) makes of each pair of blocks a <= b; either is (ids, vectors)."""
     packed, n = _packed(points, block)
-    left = packed.select(F.col("b").alias("a"), F.col("points").alias("left"), F.explode(F.sequence(F.col("b"), F.lit(n - 1))).alias("b"))
-    return left.join(packed, "b").select("a", "b", "left", F.col("points").alias("right"))
+    left = packed.withColumn("a", F.col("b")).withColumn("b", F.explode(F.sequence(F.col("a"), F.lit(n - 1)))).select("a", "b", F.lit(0).alias("side"), "ids", "v", "n")
+    right = packed.filter("b > 0").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select("a", "b", F.lit(1).alias("side"), "ids", "v", "n")
+    rows = left.union(right)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    def meet(table: pa.Table) -> pa.Table:
+        sides = sorted(table.to_pylist(), key=lambda r: r["side"])
+        if sides[0]["a"] < sides[0]["b"] and len(sides) < 2:  # a block without rows
+            return arrow.empty_table()
+        blocks = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["v"], np.float64).reshape(r["n"], -1)) for r in sides]
+        found = list(run(len(sides) == 1, blocks[0], blocks[-1]))
+        return pa.Table.from_pandas(pd.concat(found), arrow, preserve_index=False) if found else arrow.empty_table()
 
-def _matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r["id"] for r in rows]), np.array([list(r["v"]) for r in rows], float)
+    pairs = n * (n + 1) // 2
+    return rows.repartition(min(pairs, 1000), "a", "b").groupBy("a", "b").applyInArrow(meet, schema)
+
+
+def _slices(x: np.ndarray, y: np.ndarray) -> Iterator[slice]:
+    step = max(1, SLICE // max(1, len(y)))
+    for k in range(0, len(x), step):
+        yield slice(k, k + step)
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -51,55 +88,114 @@ def _squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
         if not np.isfinite(p).all() or not np.isfinite(q).all():
             return _distances(x, y), 0.0
         slack = 8 * (x.shape[1] + 8) * np.finfo(float).eps * float(p.max() + q.max())
-        return p[:, None] + q[None, :] - 2 * (x @ y.T), slack
+        out = x @ y.T
+        out *= -2
+        out += p[:, None]
+        out += q
+        return out, slack
+
+
+def _best(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int, same: bool) -> Iterator[pd.DataFrame]:
+    """The k nearest others of each id, ties by id: all pairs within twice the slack of the k-th are measured again. Only the same block has the same ids."""
+    kept, n = [], 0
+    for some in _slices(x, y):
+        squares, slack = _squares(x[some], y)
+        if same:
+            squares[ids[some, None] == others[None, :]] = np.inf
+        if not slack:
+            squares[np.isnan(squares)] = np.inf
+        i, j = np.nonzero(squares <= (_limits(squares, k) + 2 * slack)[:, None])
+        fits = np.isfinite(squares[i, j])
+        kept.append((i[fits] + some.start, j[fits]))
+        n += len(i)
+        if n >= OPEN:
+            yield _nearest(ids, x, others, y, kept, k)
+            kept, n = [], 0
+    if kept:
+        yield _nearest(ids, x, others, y, kept, k)
+
+
+def _nearest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
+    i, j = (np.concatenate(part) for part in zip(*pairs, strict=True))
+    d = _measured(x, y, i, j)
+    order = np.lexsort((others[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    found = pd.DataFrame({"id": ids[i[first]], "neighbor": others[j[first]], "distance": d[first]})
+    return found[np.isfinite(found["distance"])]
+
 
+def _limits(values: np.ndarray, k: int, groups: int = 64) -> np.ndarray:
+    """For each row a value that at least k of its values reach from below: the k-th of all, or, for long rows, the k-th of the least values of groups."""
+    rows, n = values.shape
+    if n >= 8 * groups and k <= groups // 4:
+        width = n // groups
+        values = values[:, : groups * width].reshape(rows, groups, width).min(axis=2)
+    nth = min(k, values.shape[1]) - 1
+    return np.partition(values, nth, axis=1)[:, nth]
 
-def _best(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, squares: np.ndarray, slack: float, k: int) -> pd.DataFrame:
-    """The k nearest others of each id, ties by id: all pairs within twice the slack of the k-th are measured again."""
-    nth = min(k, len(others)) - 1
-    limit = np.partition(squares, nth, axis=1)[:, nth] + 2 * slack
-    i, j = np.nonzero((squares <= limit[:, None]) & np.isfinite(squares))
+
+def _measured(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The distances of x[i] and y[j], from their differences."""
     d = np.empty(len(i))
     for at in range(0, len(i), 1 << 16):
         part = slice(at, at + (1 << 16))
         d[part] = np.sqrt(((x[i[part]] - y[j[part]]) ** 2).sum(axis=1))
-    order = np.lexsort((others[j], d, i))
-    i, j, d = i[order], j[order], d[order]
-    first = np.arange(len(i)) - np.searchsorted(i, i) < k
-    found = pd.DataFrame({"id": ids[i[first]], "neighbor": others[j[first]], "distance": d[first]})
-    return found[np.isfinite(found["distance"])]
+    return d
 
 
-def knn(points: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+def knn(points: DataFrame, k: int = 5, block: int | None = None) -> DataFrame:
     """(id, v) to (id, neighbor, distance, rank): the k nearest others by Euclidean distance, ties by id."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for a, b, left, right in zip(part["a"], part["b"], part["left"], part["right"], strict=True):
-                (ids, x), (others, y) = _matrix(left), _matrix(right)
-                squares, slack = _squares(x, y)
-                squares[(ids[:, None] == others[None, :]) | np.isnan(squares)] = np.inf
-                yield _best(ids, x, others, y, squares, slack, k)
-                if a < b:
-                    yield _best(others, y, ids, x, squares.T, slack, k)
-
-    found = _met(points, block).mapInPandas(run, "id bigint, neighbor bigint, distance double")
+    def run(same: bool, left: tuple, right: tuple) -> Iterator[pd.DataFrame]:
+        yield from _best(*left, *right, k, same)
+        if not same:
+            yield from _best(*right, *left, k, same)
+
+    found = _met(points, block, run, "id bigint, neighbor bigint, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def distance_summary(points: DataFrame, block: int = BLOCK) -> DataFrame:
+#: A pair is measured again if its square is within so many times the slack of 0: the others' roots are off by less than 1e-7 of themselves.
+_CLOSE = 1e7
+
+
+def _summed(x: np.ndarray, y: np.ndarray, wanted: np.ndarray | None) -> tuple[int, float, float, float]:
+    """Number, sum, least and largest of the distances of x and y, of those wanted. Close pairs, and those that may be least or largest, are measured by their differences."""
+    squares, slack = _squares(x, y)
+    if not slack:  # these are distances already
+        d = squares if wanted is None else squares[wanted]
+        return (d.size, d.sum(), d.min(), d.max()) if d.size else (0, 0.0, 0.0, 0.0)
+    n = squares.size if wanted is None else int(wanted.sum())
+    if not n:
+        return 0, 0.0, 0.0, 0.0
+    if wanted is None:
+        low, high = squares.min(), squares.max()
+    else:
+        low, high = squares.min(initial=np.inf, where=wanted), squares.max(initial=-np.inf, where=wanted)
+    open_ = (squares <= max(_CLOSE * slack, low + 2 * slack)) | (squares >= high - 2 * slack)
+    if wanted is not None:
+        open_ &= wanted
+    i, j = np.nonzero(open_)
+    d = _measured(x, y, i, j)
+    squares[i, j] = 0
+    if wanted is not None:
+        squares[~wanted] = 0
+    return n, np.sqrt(squares, out=squares).sum() + d.sum(), d.min(), d.max()
+
+
+def distance_summary(points: DataFrame, block: int | None = None) -> DataFrame:
     """One row over all pairs of different points: n_pairs, mean, least, largest distance. Each pair of blocks sends one row."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for a, b, left, right in zip(part["a"], part["b"], part["left"], part["right"], strict=True):
-                (ids, x), (others, y) = _matrix(left), _matrix(right)
-                d = _distances(x, y)[ids[:, None] < others[None, :] if a == b else ids[:, None] != others[None, :]]
-                if len(d):
-                    yield pd.DataFrame({"n": [len(d)], "total": [d.sum()], "low": [d.min()], "high": [d.max()]})
+    def run(same: bool, left: tuple, right: tuple) -> Iterator[pd.DataFrame]:
+        (ids, x), (others, y) = left, right
+        parts = [_summed(x[some], y, ids[some, None] < others[None, :] if same else None) for some in _slices(x, y)]
+        n, total, low, high = zip(*[p for p in parts if p[0]] or [(0, 0.0, 0.0, 0.0)], strict=True)
+        if sum(n):
+            yield pd.DataFrame({"n": [sum(n)], "total": [sum(total)], "low": [np.min(low)], "high": [np.max(high)]})
 
-    sums = _met(points, block).mapInPandas(run, "n bigint, total double, low double, high double")
+    sums = _met(points, block, run, "n bigint, total double, low double, high double")
     return sums.agg(F.sum("n").alias("n_pairs"), (F.sum("total") / F.sum("n")).alias("mean_distance"), F.min("low").alias("least_distance"), F.max("high").alias("largest_distance"))
 
 
