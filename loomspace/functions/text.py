@@ -1,4 +1,4 @@
-"""Text as Column expressions: chunks, tokens, n-grams."""
+"""Text as Column expressions: tokens, n-grams, names."""
 
 from __future__ import annotations
 
@@ -16,42 +16,6 @@ STOPWORDS = (
 SHORTEST = 3
 
 
-def pieces(text: Column, stride: int) -> Column:
-    """The text cut every `stride` code points, in one pass over it; the last piece may be short, no text has none."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
-
-
-def running(numbers: Column, block: int = 256) -> Column:
-    """Sums of the numbers before each place of an array. Sums of blocks first, so that a long array is not copied for every element."""
-
-    def before(values: Column, first: Column) -> Column:
-        start = F.struct(first.alias("sum"), F.array().cast("array<bigint>").alias("seen"))
-        step = lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["seen"], F.array(a["sum"])).alias("seen"))
-        return F.aggregate(values, start, step, lambda a: a["seen"])
-
-    zero = F.lit(0).cast("bigint")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block)), lambda k: F.slice(numbers, (k * block + 1).cast("int"), F.lit(block)))
-    totals = before(F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: a + x)), zero)
-    return F.flatten(F.zip_with(blocks, totals, before))
-
-
-def chunk_rows(text: Column, size: int, stride: int) -> Column:
-    """An array of (start, chunk, source_line): each chunk joins the pieces it reaches over; source_line is 1 + line breaks before start.
-
-    Linear in the length of the text: nothing is looked for from its beginning again for every chunk.
-    """
-    reach = -(-size // stride)
-
-    def rows(cut: Column) -> Column:
-        breaks = F.transform(cut, lambda p: (F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))).cast("bigint"))
-        whole = F.transform(cut, lambda p, k: F.substring(F.concat(p, *(F.coalesce(F.get(cut, k + j), F.lit("")) for j in range(1, reach))), 1, size))
-        return F.zip_with(whole, running(breaks), lambda chunk, n: F.struct(chunk.alias("chunk"), (n + 1).cast("int").alias("source_line")))
-
-    # bound once by an array of one element, as a lambda's body would be evaluated anew for each use
-    found = F.transform(F.array(pieces(text, stride)), rows)[0]
-    return F.when(F.length(text) > 0, found)
-
-
 def tokens(text: Column) -> Column:
     """Words between white space (Unicode), without marks at their ends, lower-cased, empty ones dropped."""
     parts = F.split(text, r"(?U)\s+")

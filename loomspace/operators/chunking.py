@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Ingest
-from ..functions import text as T
 
 #: Documents whose chunk counts one task sums up: numbering within a source goes in two levels, so that a source with a large share of
 #: all documents is not summed up in one task.
@@ -19,11 +21,46 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
 
 
+#: Characters of chunks that one Arrow batch takes, and documents or chunks that it takes at most: texts may be very long.
+_CHARACTERS, _ROWS = 4 << 20, 512
+
+
 def chunks(docs: DataFrame, settings: Ingest | None = None) -> DataFrame:
-    """(doc_id, source, text) to (source, doc_id, start, text, source_line); a text of no characters has no chunks, the last chunk may be short."""
+    """(doc_id, source, text) to (source, doc_id, start, text, source_line); a text of no characters has no chunks, the last chunk may be short.
+
+    source_line is 1 + line breaks before start, a running sum, so the work is linear in the length of a text.
+    """
     s = settings or Ingest()
-    rows = spread(docs.select("source", "doc_id", "text")).select("source", "doc_id", F.posexplode(T.chunk_rows(F.col("text"), s.chunk_size, s.stride)).alias("k", "c"))
-    return rows.select("source", "doc_id", (F.col("k") * s.stride).alias("start"), F.col("c.chunk").alias("text"), F.col("c.source_line").alias("source_line"))
+    rows = spread(docs.select("source", "doc_id", "text"))
+    conf = docs.sparkSession.conf  # read when the plan runs, so it stays as it is set here
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= _ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_ROWS))
+    names = ["source", "doc_id", "start", "text", "source_line"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [batch.schema.field("source").type, batch.schema.field("doc_id").type, pa.int32(), pa.string(), pa.int32()]
+            found, held = [], 0
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for source, doc_id, text in zip(*(part.column(c).to_pylist() for c in names[:2] + ["text"]), strict=True):
+                    line = 1
+                    for start in range(0, len(text or ""), s.stride):
+                        found.append((source, doc_id, start, text[start : start + s.chunk_size], line))
+                        line += text.count("\n", start, start + s.stride)
+                        held += s.chunk_size
+                        if held >= _CHARACTERS:
+                            yield _batch(found, names, kinds)
+                            found, held = [], 0
+            if found:
+                yield _batch(found, names, kinds)
+
+    kind = {c: rows.schema[c].dataType.simpleString() for c in names[:2]}
+    return rows.mapInArrow(cut, f"source {kind['source']}, doc_id {kind['doc_id']}, start int, text string, source_line int")
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def chunk_offsets(docs: DataFrame, settings: Ingest | None = None) -> DataFrame:

@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-
-
-def _signal() -> Column:
-    total = F.aggregate(F.filter("strong", lambda t: F.contains(F.col("low"), t["term"])), F.lit(0.0), lambda a, t: a + t["strength"])
-    return F.coalesce(total, F.lit(0.0)).alias("signal")
+from . import holding
 
 
 def chunk_signal(cut: DataFrame, strong: DataFrame) -> DataFrame:
@@ -18,22 +13,17 @@ def chunk_signal(cut: DataFrame, strong: DataFrame) -> DataFrame:
 
     strong: (source, term, strength); the cap of terms per source bounds what each chunk is held against.
     """
-    lists = strong.groupBy("source").agg(F.collect_list(F.struct("term", "strength")).alias("strong"))
-    low = cut.withColumn("low", F.lower("text")).join(lists, "source", "left")
-    return low.select("source", "doc_id", "start", _signal())
+    return holding.signals(cut, strong)
 
 
 def term_chunks(cut: DataFrame, strong: DataFrame, kept: DataFrame, max_n: int = 3, n: int = 5) -> DataFrame:
     """(source, term, doc_id, start, signal, rank): of each kept term of a source the n chunks that hold it with most signal, ties in order.
 
-    kept: (source, term), bounded per source by its cap. One pass over the chunks gives both their signal and which kept terms they hold.
+    kept: (source, term), bounded per source by its cap. One pass over the chunks gives both their signal and which kept terms they hold; a task
+    sends the n best of each term that it has seen.
     """
-    wanted = kept.groupBy("source").agg(F.collect_list("term").alias("kept"))
-    lists = strong.groupBy("source").agg(F.collect_list(F.struct("term", "strength")).alias("strong"))
-    rows = cut.select("source", "doc_id", "start", F.lower("text").alias("low"), T.tokens(F.col("text")).alias("words")).join(wanted.join(lists, "source", "left"), "source")
-    held = rows.select("source", "doc_id", "start", _signal(), F.explode(F.array_intersect("kept", T.ngrams(F.col("words"), max_n))).alias("term"))
     order = Window.partitionBy("source", "term").orderBy(F.round("signal", 9).desc(), "doc_id", "start")
-    return held.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    return holding.best_chunks(cut, strong, kept, max_n, n).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
 def summary_prompt(raw_term: Column, context: Column) -> Column:

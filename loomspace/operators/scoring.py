@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Scoring
 from ..functions import text as T
+from ..sources.shared import counted, written
 
 #: Thresholds that the survival report lists: fixed values.
 THRESHOLDS = (0.001, 0.01, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -24,21 +25,15 @@ def document_frequency(terms: DataFrame, settings: Scoring | None = None) -> Dat
     return terms.groupBy("source", "term").agg(F.count("*").alias("df")).filter(F.col("df") >= s.min_occurrences)
 
 
-def first_lines(terms: DataFrame, kept: DataFrame) -> DataFrame:
-    """kept with first_line, the line of the first chunk that holds the term; kept is what the caps per source left."""
-    found = terms.join(kept.select("source", "term"), ["source", "term"]).groupBy("source", "term").agg(F.min(F.struct("doc_id", "start", "source_line")).alias("first"))
-    return kept.join(found.select("source", "term", F.col("first.source_line").alias("first_line")), ["source", "term"])
-
-
 def chunk_counts(docs: DataFrame, stride: int) -> DataFrame:
     """(source, n_chunks), counted from text lengths alone."""
     return docs.groupBy("source").agg(F.sum(F.ceil(F.length("text") / stride)).alias("n_chunks"))
 
 
 def tfidf(frequencies: DataFrame, counts: DataFrame) -> DataFrame:
-    """score = df * ln((n + 1) / (df + 1)). Sources are as many as rows of counts, which Spark broadcasts if they are few."""
+    """score = df * ln((n + 1) / (df + 1)). counts has a row per source; it is counted first, so that terms are not dealt out by source where sources are few."""
     score = F.col("df") * F.ln((F.col("n_chunks") + 1) / (F.col("df") + 1))
-    return frequencies.join(counts, "source").withColumn("score", score)
+    return frequencies.join(counted(counts, "chunk-counts"), "source").withColumn("score", score)
 
 
 def top_terms(scores: DataFrame, n: int | None) -> DataFrame:
@@ -53,6 +48,7 @@ def strengths(scores: DataFrame, normalize: str = "pooled") -> DataFrame:
     if normalize not in ("pooled", "per_source"):
         raise ValueError(f"normalize: {normalize}")
     if normalize == "pooled":
+        scores = written(scores, "scores")  # read twice
         rows = scores.withColumn("largest", scores.agg(F.max("score")).scalar())
     else:  # the window of top_terms has dealt the rows by source already
         rows = scores.withColumn("largest", F.max("score").over(Window.partitionBy("source")))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..config import Placement, Scoring, Settings
 from ..functions import hyperbolic as H
 from ..functions import text as T
-from ..operators import chunking, enrichment, neighbors, placement, scoring, sharding
+from ..operators import chunking, counting, enrichment, holding, neighbors, placement, scoring, sharding
 from ..sources import models, store
-from ..sources.shared import fresh_path, remove
+from ..sources.shared import counted, fresh_path, remove, written
 from . import pipeline
 from .oracles import ORACLES
 
@@ -55,7 +55,7 @@ def ngrams(spark, sf_dir):
 
 
 def _frequencies(spark, sf_dir, least=None):
-    return scoring.document_frequency(scoring.chunk_terms(_cut(spark, sf_dir)), Scoring(min_occurrences=least) if least else None)
+    return counting.term_frequencies(_cut(spark, sf_dir), Scoring(min_occurrences=least) if least else None)
 
 
 def term_df(spark, sf_dir):
@@ -81,11 +81,8 @@ def top_terms_small(spark, sf_dir):
 
 def term_chunk_lists(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    cut = chunking.numbered(docs, chunking.chunks(docs))
     top = scoring.top_terms(_scores(spark, sf_dir), 100).select("source", "term")
-    rows = scoring.chunk_terms(cut).join(top, ["source", "term"]).join(cut.select("source", "doc_id", "start", "chunk_no"), ["source", "doc_id", "start"])
-    first = F.min(F.struct("chunk_no", "source_line"))["source_line"].alias("first_line")
-    lists = rows.groupBy("source", "term").agg(F.array_join(F.sort_array(F.collect_list("chunk_no")).cast("array<string>"), ",").alias("chunk_nos"), first)
+    lists = holding.chunk_lists(chunking.chunks(docs), chunking.chunk_offsets(docs), top, SETTINGS.scoring.max_n, SETTINGS.ingest.stride)
     return lists.select("source", "term", "chunk_nos", "first_line")
 
 
@@ -307,7 +304,7 @@ def rag_prompt(spark, sf_dir):
 
 
 def _strong(spark, sf_dir):
-    return _strengths(spark, sf_dir, "per_source").select("source", "term", "strength")
+    return written(_strengths(spark, sf_dir, "per_source").select("source", "term", "strength"), "strong-terms")
 
 
 def _signalling(strong):
@@ -371,8 +368,10 @@ def embedding_join(spark, sf_dir):
 
 def strength_left_join(spark, sf_dir):
     """All terms of 10 chunks or more with the strength of the 100 best of their source, 0 for others."""
-    top = _strengths(spark, sf_dir).select("source", "term", "strength")
-    rows = _frequencies(spark, sf_dir).select("source", "term").join(top, ["source", "term"], "left")
+    found = written(_frequencies(spark, sf_dir), "frequencies")
+    scores = scoring.tfidf(found, chunk_counts(spark, sf_dir))
+    top = counted(scoring.strengths(scoring.top_terms(scores, 100)).select("source", "term", "strength"), "strengths")
+    rows = found.select("source", "term").join(top, ["source", "term"], "left")
     return rows.select("source", "term", F.round(F.coalesce("strength", F.lit(0.0)), 6).alias("strength"))
 
 

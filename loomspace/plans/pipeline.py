@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import hyperbolic as H
 from ..functions import text as T
-from ..operators import chunking, enrichment, placement, scoring, sharding
+from ..operators import chunking, counting, enrichment, holding, placement, scoring, sharding
 from ..sources import models, store
-from ..sources.shared import scratch, written
+from ..sources.shared import counted, scratch, written
 
 
 def scored_terms(docs: DataFrame, settings: Settings) -> DataFrame:
     """(source, term, df, score, first_line, rank, strength) of the best terms of each source."""
     cut = chunking.chunks(docs, settings.ingest)
-    terms = scoring.chunk_terms(cut, settings.scoring.max_n)
-    scores = scoring.tfidf(scoring.document_frequency(terms, settings.scoring), scoring.chunk_counts(docs, settings.ingest.stride))
-    return scoring.first_lines(terms, scoring.strengths(scoring.top_terms(scores, settings.max_concepts_per_source), settings.normalize))
+    scores = scoring.tfidf(counting.term_frequencies(cut, settings.scoring), scoring.chunk_counts(docs, settings.ingest.stride))
+    best = written(scoring.strengths(scoring.top_terms(scores, settings.max_concepts_per_source), settings.normalize), "best-terms")
+    return holding.first_lines(cut, best, settings.scoring.max_n)
 
 
 def dry_run(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -67,12 +67,14 @@ def enriched(concepts: DataFrame, docs: DataFrame, terms: DataFrame, settings: S
 
 
 def summary_prompts(docs: DataFrame, terms: DataFrame, settings: Settings) -> DataFrame:
-    """(source, term, prompt) from the chunks of most signal."""
+    """(source, term, prompt) from the chunks of most signal. Only the documents of these are cut again for their texts."""
     cut = chunking.chunks(docs, settings.ingest)
     kept = terms.select("source", "term", "strength")
     strong = kept.filter(F.col("strength") > settings.enrichment.signal_threshold)
-    best = enrichment.term_chunks(cut, strong, kept, settings.scoring.max_n, settings.enrichment.max_chunks)
-    context = enrichment.joined(best.join(cut.select("source", "doc_id", "start", "text"), ["source", "doc_id", "start"]), ["source", "term"], ["rank"], "text", "\n---\n", "context")
+    best = written(enrichment.term_chunks(cut, strong, kept, settings.scoring.max_n, settings.enrichment.max_chunks), "best-chunks")
+    chosen = docs.join(counted(best.select("source", "doc_id").distinct(), "best-documents"), ["source", "doc_id"], "left_semi")
+    again = chunking.chunks(chosen, settings.ingest)
+    context = enrichment.joined(best.join(again.select("source", "doc_id", "start", "text"), ["source", "doc_id", "start"]), ["source", "term"], ["rank"], "text", "\n---\n", "context")
     return context.select("source", "term", enrichment.summary_prompt(F.col("term"), F.col("context")).alias("prompt"))
 
 

@@ -7,6 +7,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,3 +66,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if _open:
         _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a table may have to be broadcast after it was counted.
+FEW = 20_000
+
+
+def counted(df: DataFrame, name: str, most: int = FEW) -> DataFrame:
+    """df, written and counted; if its rows are few it is marked for broadcast, so that what it meets is not dealt out by a few skewed keys, whichever side is ready first."""
+    made = written(df, name)
+    return F.broadcast(made) if made.count() <= most else made
